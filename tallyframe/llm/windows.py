@@ -1,0 +1,144 @@
+"""Repeated windows of a fixed length over symbol sequences: the search under substring and suffix dedup.
+
+Each window of `size` symbols belongs to its anchor, the leftmost lowest-hashed run of `gram` symbols in it. Equal windows have
+equal anchors at equal offsets, and neighbouring windows mostly share theirs, so a text gives one record for each run of
+windows of one anchor (about 2 / (size - gram + 2) a symbol), not one for each window.
+  1. Records with the same anchor hash and the same context (all symbols of the run) are grouped: a context seen earlier
+     is repeated as a whole.
+  2. Only where one anchor hash has several contexts are the first of each compared window by window.
+Grouping is by 64-bit anchor hash with 64-bit context or window hash, with partial aggregation; joins back are plain ones that
+Spark splits on skew. No group is collected, so copies in any number cost one record for each run.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import U64, batches, combine, gram_hash, joined, stored, word_hashes, words_of, BYTE_VALUE
+
+RECORD = "d long, t long, h long, c long, lo int, hi int"
+
+
+def _symbols(texts: list[bytes], kind: str):
+    """Symbols of all texts in one array, and the bounds of each text in it."""
+    data, at = joined(texts)
+    if kind == "bytes":
+        keep = np.ones(len(data), bool)
+        keep[at[1:] - 1] = False
+        return BYTE_VALUE[data[keep]], at - np.arange(len(at))
+    starts, ends = words_of(data)
+    return word_hashes(data, starts, ends), np.searchsorted(starts, at)
+
+
+def _lowest(h: np.ndarray, w: int) -> np.ndarray:
+    """Index of the leftmost minimum in each window of w values."""
+    value, index, size = h, np.arange(len(h)), 1
+    while size < w:
+        step = min(size, w - size)
+        m = len(value) - step
+        take = value[step : step + m] < value[:m]
+        index = np.where(take, index[step : step + m], index[:m])
+        value = np.where(take, value[step : step + m], value[:m])
+        size += step
+    return index
+
+
+def runs(texts: list[bytes], kind: str, size: int, gram: int):
+    """Text, first and last window start, anchor hash, context hash of each run, and the window hashes of the array."""
+    symbols, at = _symbols(texts, kind)
+    none = np.empty(0, np.int64)
+    if len(symbols) < size:
+        return none, none, none, none.astype(U64), none.astype(U64), at, none.astype(U64)
+    grams, windows = gram_hash(symbols, gram), gram_hash(symbols, size)
+    anchor = _lowest(grams, size - gram + 1)
+    owner = np.searchsorted(at, np.arange(len(windows)), side="right") - 1
+    whole = np.flatnonzero(np.arange(len(windows)) + size <= at[owner + 1])
+    if not len(whole):
+        return none, none, none, none.astype(U64), none.astype(U64), at, windows
+    a, o = anchor[whole], owner[whole]
+    first = np.concatenate([[True], (a[1:] != a[:-1]) | (o[1:] != o[:-1])])
+    lo = whole[first]
+    hi = whole[np.concatenate([first[1:], [True]])]
+    a = a[first]
+    context = combine(combine(windows[lo], windows[hi]), ((hi - lo) * 4096 + (a - lo)).astype(U64))
+    return o[first], lo, hi, grams[a], context, at, windows
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """d: doc_id, null as the largest; t: a hash that tells texts of equal doc_id apart."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64("text").alias("t"), F.col("text"))
+
+
+def repeated_windows(docs: DataFrame, kind: str, size: int, gram: int, within: bool) -> DataFrame:
+    """d, t, lo, hi: runs of window starts whose windows start earlier: in a smaller doc_id or, if within, earlier in the same document.
+
+    Rows with the same doc_id count as the same document; if within, those with the same text share their places.
+    """
+    keyed = _keyed(docs)
+
+    def records(frames):
+        for pdf in batches(frames):
+            texts = [(t or "").encode() for t in pdf["text"]]
+            o, lo, hi, h, c, at, _ = runs(texts, kind, size, gram)
+            yield pd.DataFrame({"d": pdf["d"].to_numpy()[o], "t": pdf["t"].to_numpy()[o], "h": h.view(np.int64), "c": c.view(np.int64), "lo": lo - at[o], "hi": hi - at[o]})
+
+    place = F.struct("d", "t", "lo") if within else F.struct("d")
+    rec = stored(keyed.mapInPandas(records, RECORD))
+    contexts = rec.groupBy("h", "c").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    contexts = stored(contexts)
+    several = contexts.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("h")
+    contexts = contexts.join(several.withColumn("several", F.lit(True)), "h", "left").where("several or n > 1")
+    rec = stored(rec.join(contexts.select("h", "c", "first", "several"), ["h", "c"]).withColumn("dup", place > F.col("first")).drop("first"))
+    whole = rec.where("dup").select("d", "t", "lo", "hi")
+
+    # The rest: runs that aren't repeated as a whole, of anchors with several contexts; their windows one by one.
+    open_runs = rec.where("not dup and several").groupBy("d", "t").agg(F.collect_set(F.struct("lo", "hi")).alias("open"))
+    again = keyed.dropDuplicates(["d", "t"]).join(open_runs, ["d", "t"])
+
+    def single(frames):
+        for pdf in batches(frames, limit=1 << 20):
+            texts = [(t or "").encode() for t in pdf["text"]]
+            o, lo, hi, h, _, at, windows = runs(texts, kind, size, gram)
+            wanted = [np.array([r["lo"] for r in x], np.int64) + at[i] for i, x in enumerate(pdf["open"])]
+            pick = np.isin(lo, np.concatenate(wanted))
+            o, lo, hi, h = o[pick], lo[pick], hi[pick], h[pick]
+            n = hi - lo + 1
+            start = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            o, h = np.repeat(o, n), np.repeat(h, n)
+            yield pd.DataFrame({"d": pdf["d"].to_numpy()[o], "t": pdf["t"].to_numpy()[o], "h": h.view(np.int64), "c": windows[start].view(np.int64), "lo": start - at[o]})
+
+    one = stored(again.mapInPandas(single, "d long, t long, h long, c long, lo int"))
+    firsts = one.groupBy("h", "c").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").drop("last")
+    later = one.join(firsts, ["h", "c"]).where(place > F.col("first")).select("d", "t", "lo", F.col("lo").alias("hi"))
+    return whole.unionByName(later)
+
+
+def with_spans(docs: DataFrame, kind: str, size: int, gram: int, within: bool, function, schema: str) -> DataFrame:
+    """function(row, spans) for each row of docs; spans: merged, sorted (start, end) of symbols to remove, as an array.
+
+    The spans of a text are gathered in one row: they are no more than its symbols.
+    """
+    found = repeated_windows(docs, kind, size, gram, within).groupBy("d", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
+    cols = [c for c in docs.columns if c not in ("_d", "_t", "_found")]
+    left = docs.select(*[F.col(f"`{c}`") for c in cols], F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_d"), F.xxhash64("text").alias("_t"))
+    found = found.withColumnsRenamed({"d": "_d", "t": "_t", "found": "_found"})
+
+    def run(frames):
+        for pdf in batches(frames):
+            rows = [function(row, merged(f, size)) for row, f in zip(pdf.drop(columns=["_d", "_t", "_found"]).to_dict("records"), pdf["_found"])]
+            out = pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
+            yield out.astype({x.split()[0]: "Int64" for x in schema.split(", ") if x.endswith(" long")})
+
+    return left.join(found, ["_d", "_t"], "left").mapInPandas(run, schema)
+
+
+def merged(found, size: int) -> np.ndarray:
+    if found is None or len(found) == 0:
+        return np.empty((0, 2), np.int64)
+    x = np.array(sorted((r["lo"], r["hi"] + size) for r in found), np.int64)
+    reach = np.maximum.accumulate(x[:, 1])
+    new = np.concatenate([[True], x[1:, 0] > reach[:-1]])
+    return np.column_stack([x[new, 0], reach[np.concatenate([new[1:], [True]])]])
