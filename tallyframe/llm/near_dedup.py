@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, batches, gram_hash, joined, mix, stored, word_hashes, words_of
+from .common import NULL_ID, U64, batches, gram_hash, joined, mix, stored, word_hashes, words_of
 
 BANDS, ROWS, WIDTH = 42, 3, 5
 SMALL, BOTH = 48, 64
@@ -124,6 +124,10 @@ def components(edges: DataFrame) -> DataFrame:
         last = now
 
 
+def _set_id(shingles: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document.
 
@@ -132,25 +136,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component_id if alone and counts as none otherwise; kept is then false unless alone. Rows of equal doc_id each have a row.
     """
 
+    ids = docs.select(F.col("doc_id").cast("long"), "text")
+
     def run(frames):
         for pdf in batches(frames):
             sets = shingle_sets([(t or "").encode() for t in pdf["text"]])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": [len(x) for x in sets], "s": pd.array([int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(x.tobytes())).view(np.int64))) if len(x) else None for x in sets], dtype="Int64"), "sh": [x.view(np.int64) for x in sets]})
+            keys = [bucket_keys(x).view(np.int64) if len(x) else np.empty(0, np.int64) for x in sets]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": [len(x) for x in sets], "s": pd.array([_set_id(x) if len(x) else None for x in sets], dtype="Int64"), "keys": keys})
 
-    sets = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n long, s long, sh array<long>")
-    sets = stored(sets)
-    of_class = sets.where("s is not null").groupBy("s").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("sh").alias("sh"))
+    sets = stored(ids.mapInPandas(run, "doc_id long, n long, s long, keys array<long>"))
+    of_class = sets.where("s is not null").groupBy("s").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     reps = stored(of_class)
+    keys = reps.select(F.explode("keys").alias("k"), "s", "n")
+    shared = keys.groupBy("k").count().where("count > 1").select("k")
+    keys = stored(keys.join(shared, "k"))
 
-    def keyed(frames):
-        for pdf in frames:
-            keys = [bucket_keys(np.asarray(x, np.int64).view(U64)) for x in pdf["sh"]]
-            n = [len(k) for k in keys]
-            yield pd.DataFrame({"k": np.concatenate(keys).view(np.int64), "s": np.repeat(pdf["s"].to_numpy(), n), "n": np.repeat(pdf["n"].to_numpy(), n)})
+    # Full sets of one document of each class that shares a bucket, from its text: sets are larger than texts.
+    wanted = reps.join(keys.select("s").distinct(), "s", "left_semi").select(F.coalesce("low", F.lit(NULL_ID)).alias("d"), F.col("s").alias("want"))
+    texts = ids.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("d"), "text").join(wanted, "d")
 
-    keys = stored(reps.select("s", "n", "sh").mapInPandas(keyed, "k long, s long, n long"))
-    shared = keys.groupBy("k").count().where("count > 1").select("k")
-    roots = components(links(keys.join(shared, "k"), reps.select("s", "sh")))
+    def again(frames):
+        for pdf in batches(frames):
+            sets = shingle_sets([(t or "").encode() for t in pdf["text"]])
+            same = [len(x) > 0 and _set_id(x) == w for x, w in zip(sets, pdf["want"])]
+            yield pd.DataFrame({"s": pdf["want"][same].to_numpy(), "sh": [x.view(np.int64) for x, ok in zip(sets, same) if ok]})
+
+    full = stored(texts.mapInPandas(again, "s long, sh array<long>").dropDuplicates(["s"]))
+    roots = components(links(keys, full))
     joined_ = reps.select("s", "low").join(roots, "s", "left").select("s", "low", F.coalesce("root", "s").alias("root"))
     joined_ = stored(joined_)
     least = joined_.groupBy("root").agg(F.min("low").alias("component_id"))
