@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, U64, batches, gram_hash, joined, mix, stored, word_hashes, words_of
 
-BANDS, ROWS, WIDTH = 42, 3, 5
-SMALL, BOTH = 48, 64
+BANDS, ROWS, WIDTH = 42, 4, 5
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -31,7 +30,7 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def _donors(bins: int, tries: int = 64) -> np.ndarray:
+def _donors(bins: int, tries: int = 1024) -> np.ndarray:
     """The bins that an empty bin asks in turn: random, the same for all texts."""
     x = mix(np.arange(1, bins * tries + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
     return (x % U64(bins)).astype(np.int64).reshape(bins, tries)
@@ -48,25 +47,24 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     first = np.searchsorted(of, np.arange(bins, dtype=U64))
     full = (first < len(x)) & (of[np.minimum(first, len(x) - 1)] == np.arange(bins, dtype=U64))
     out = x[np.minimum(first, len(x) - 1)]
-    for i in np.flatnonzero(~full):
-        asked = DONORS[i][full[DONORS[i]]]
-        j = asked[0] if len(asked) else int(np.flatnonzero(full)[int(DONORS[i][0]) % full.sum()])
-        out[i] = x[first[j]]
+    empty = np.flatnonzero(~full)
+    for tries in (32, DONORS.shape[1]):
+        hit = full[DONORS[empty, :tries]]
+        pick = hit.argmax(axis=1)
+        found = hit[np.arange(len(empty)), pick]
+        out[empty[found]] = x[first[DONORS[empty[found], pick[found]]]]
+        empty = empty[~found]
+    out[empty] = x[0]  # after 1,024 tries: even three full bins come to this with a chance of 2e-8
     return out
 
 
 def bucket_keys(shingles: np.ndarray) -> np.ndarray:
-    """Band hashes; for sets of up to 64 also a prefix of the hash order, which two sets of up to 64 and a similarity of 0.75 must share.
-
-    Bins of small sets repeat each other, so bands alone would miss pairs. Of two similar sets, if one has up to 48 shingles,
-    the other has up to 64, so each pair is found by the prefixes or has over 48 shingles on both sides.
-    """
+    """Band hashes of the signature."""
     sig = signature(shingles).reshape(BANDS, ROWS)
-    keys = mix(mix(mix(sig[:, 0]) + sig[:, 1]) + sig[:, 2] + np.arange(BANDS, dtype=U64))
-    n = len(shingles)
-    if n <= BOTH:
-        keys = np.concatenate([keys, mix(shingles[: n - (3 * n + 3) // 4 + 1] + U64(77))])
-    return np.unique(keys)
+    key = sig[:, 0]
+    for r in range(1, ROWS):
+        key = mix(key) + sig[:, r]
+    return np.unique(mix(key + np.arange(BANDS, dtype=U64)))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -76,31 +74,30 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return x.where("100 * i >= 75 * (n - i)").select("a", "b")
 
 
-def links(keys: DataFrame, sets: DataFrame, max_rounds: int = 50) -> DataFrame:
+def links(keys: DataFrame, sets: DataFrame, max_centres: int = 64) -> DataFrame:
     """Confirmed links (a, b) that connect what the buckets connect.
 
-    Each bucket's pairs form a star: a random unlinked member as the centre against all others. Those that the centre doesn't link
-    to stay, with the linked ones, for another star; a bucket ends when all its members are linked. So no
-    bucket emits all pairs, yet each similar pair of a bucket ends in one component.
+    Each bucket's pairs form a star: an unlinked member as the centre against all others. Those that the centre doesn't link
+    to stay, with the linked ones, for further stars, of twice as many centres each round; a bucket ends when all its members
+    are linked. So a bucket of similar texts emits one star, and each similar pair of a bucket ends in one component.
+    Every round takes a centre out of each bucket, so the rounds end without a limit.
     """
-    open_rows = stored(keys.withColumn("linked", F.lit(False)))
-    found = []
-    for _ in range(max_rounds):
-        lead = open_rows.where("not linked").groupBy("k").agg(F.min(F.struct(F.xxhash64("s", "k").alias("x"), "s", "n")).alias("m"))
-        star = open_rows.join(lead.select("k", F.col("m.s").alias("c"), F.col("m.n").alias("cn")), "k").where("s <> c")
-        close = star.where("100 * least(n, cn) >= 75 * greatest(n, cn)")
-        pairs = close.select(F.least("s", "c").alias("a"), F.greatest("s", "c").alias("b")).distinct()
+    open_rows, found, centres = stored(keys.withColumn("linked", F.lit(False))), [], 1
+    while True:
+        salt = F.pmod(F.xxhash64("s", F.lit(centres)), F.lit(centres))
+        lead = open_rows.where("not linked").groupBy("k", salt.alias("salt")).agg(F.min(F.struct("s", "n")).alias("m"))
+        lead = lead.select("k", F.col("m.s").alias("c"), F.col("m.n").alias("cn"))
+        star = open_rows.join(lead, "k").where("s <> c").withColumns({"a": F.least("s", "c"), "b": F.greatest("s", "c")})
+        pairs = star.where("100 * least(n, cn) >= 75 * greatest(n, cn)").select("a", "b").distinct()
         good = stored(_confirmed(pairs, sets))
         found.append(good)
-        mark = good.withColumn("ok", F.lit(True))
-        star = star.select("k", "s", "n", "linked", F.least("s", "c").alias("a"), F.greatest("s", "c").alias("b")).join(mark, ["a", "b"], "left")
-        rest = star.select("k", "s", "n", (F.col("linked") | F.coalesce("ok", F.lit(False))).alias("linked"))
+        rest = star.join(good.withColumn("ok", F.lit(True)), ["a", "b"], "left")
+        rest = rest.groupBy("k", "s", "n").agg(F.bool_or(F.col("linked") | F.coalesce("ok", F.lit(False))).alias("linked"))
+        rest = rest.join(lead.select("k", F.col("c").alias("s")), ["k", "s"], "left_anti")
         live = rest.groupBy("k").agg(F.bool_and("linked").alias("over"), F.count("*").alias("m")).where("not over and m > 1").select("k")
-        open_rows = stored(rest.join(live, "k"))
+        open_rows, centres = stored(rest.join(live, "k")), min(2 * centres, max_centres)
         if open_rows.isEmpty():
             break
-    else:
-        raise RuntimeError("buckets with more than max_rounds unlike members are left; raise max_rounds")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
