@@ -86,7 +86,7 @@ def repeated_windows(docs: DataFrame, kind: str, size: int, gram: int, within: b
             yield pd.DataFrame({"d": pdf["d"].to_numpy()[o], "t": pdf["t"].to_numpy()[o], "h": h.view(np.int64), "c": c.view(np.int64), "lo": lo - at[o], "hi": hi - at[o]})
 
     place = F.struct("d", "t", "lo") if within else F.struct("d")
-    rec = stored(keyed.mapInPandas(records, RECORD))
+    rec = keyed.mapInPandas(records, RECORD)  # made twice: the records are larger on disk than the texts are to hash
     contexts = rec.groupBy("h", "c").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     contexts = stored(contexts)
     several = contexts.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("h")
