@@ -68,33 +68,38 @@ def bucket_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b of the pairs with 100 * intersection >= 75 * union on the full sets."""
+    """The pairs (a, b and other columns) with 100 * intersection >= 75 * union on the full sets."""
     x = pairs.join(sets.select(F.col("s").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("s").alias("b"), F.col("sh").alias("y")), "b")
-    x = x.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("n"))
-    return x.where("100 * i >= 75 * (n - i)").select("a", "b")
+    x = x.select(*pairs.columns, F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("n"))
+    return x.where("100 * i >= 75 * (n - i)").select(*pairs.columns)
 
 
 def links(keys: DataFrame, sets: DataFrame, max_centres: int = 64) -> DataFrame:
     """Confirmed links (a, b) that connect what the buckets connect.
 
-    Each bucket's pairs form a star: an unlinked member as the centre against all others. Those that the centre doesn't link
-    to stay, with the linked ones, for further stars, of twice as many centres each round; a bucket ends when all its members
-    are linked. So a bucket of similar texts emits one star, and each similar pair of a bucket ends in one component.
-    Every round takes a centre out of each bucket, so the rounds end without a limit.
+    Each round stars some members of each bucket, the centres, against all members of other components (c, by the links confirmed
+    so far). A centre then leaves the bucket: each of its pairs is compared or within one component. A bucket ends when its members
+    are of one component, so each similar pair of a bucket ends in one component, also when both are linked to others. Centres are
+    the members of the most links, likely hubs, and of the fewest, likely apart; there are twice as many each round, up to
+    max_centres of each kind. Every round takes a centre out of each bucket, so the rounds end without a limit.
     """
-    open_rows, found, centres = stored(keys.withColumn("linked", F.lit(False))), [], 1
+    open_rows, found, centres = stored(keys.select("k", "s", "n", F.col("s").alias("c"), F.lit(0).cast("long").alias("hits"))), [], 1
     while True:
         salt = F.pmod(F.xxhash64("s", F.lit(centres)), F.lit(centres))
-        lead = open_rows.where("not linked").groupBy("k", salt.alias("salt")).agg(F.min(F.struct("s", "n")).alias("m"))
-        lead = lead.select("k", F.col("m.s").alias("c"), F.col("m.n").alias("cn"))
-        star = open_rows.join(lead, "k").where("s <> c").withColumns({"a": F.least("s", "c"), "b": F.greatest("s", "c")})
-        pairs = star.where("100 * least(n, cn) >= 75 * greatest(n, cn)").select("a", "b").distinct()
+        member = F.struct("hits", "s", "n", "c")
+        lead = open_rows.groupBy("k", salt.alias("salt")).agg(F.explode(F.array_distinct(F.array(F.min(member), F.max(member)))).alias("m"))
+        lead = lead.select("k", F.col("m.s").alias("z"), F.col("m.n").alias("zn"), F.col("m.c").alias("zc"))
+        star = open_rows.join(lead, "k").where("c <> zc and 100 * least(n, zn) >= 75 * greatest(n, zn)")
+        pairs = star.select(F.least("s", "z").alias("a"), F.greatest("s", "z").alias("b"), F.least("c", "zc").alias("low"), F.greatest("c", "zc").alias("high")).distinct()
         good = stored(_confirmed(pairs, sets))
-        found.append(good)
-        rest = star.join(good.withColumn("ok", F.lit(True)), ["a", "b"], "left")
-        rest = rest.groupBy("k", "s", "n").agg(F.bool_or(F.col("linked") | F.coalesce("ok", F.lit(False))).alias("linked"))
-        rest = rest.join(lead.select("k", F.col("c").alias("s")), ["k", "s"], "left_anti")
-        live = rest.groupBy("k").agg(F.bool_and("linked").alias("over"), F.count("*").alias("m")).where("not over and m > 1").select("k")
+        found.append(good.select("a", "b"))
+        rest = open_rows.join(lead.select("k", F.col("z").alias("s")), ["k", "s"], "left_anti")
+        if not good.isEmpty():
+            more = good.select(F.explode(F.array("a", "b")).alias("s")).groupBy("s").agg(F.count("*").alias("more"))
+            roots = components(good.select(F.col("low").alias("a"), F.col("high").alias("b")).distinct()).withColumnRenamed("s", "c")
+            rest = rest.join(more, "s", "left").join(roots, "c", "left")
+            rest = rest.select("k", "s", "n", F.coalesce("root", "c").alias("c"), (F.col("hits") + F.coalesce("more", F.lit(0))).alias("hits"))
+        live = rest.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("k")
         open_rows, centres = stored(rest.join(live, "k")), min(2 * centres, max_centres)
         if open_rows.isEmpty():
             break
@@ -104,9 +109,27 @@ def links(keys: DataFrame, sets: DataFrame, max_centres: int = 64) -> DataFrame:
     return stored(out.distinct())
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """s, root from edges (a, b): alternating large and small stars until nothing changes; only counts reach the driver."""
+def _few_components(edges: DataFrame) -> DataFrame:
+    """components() of few edges, by union-find in the driver."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.get(x, x) != x:
+            up[x] = x = up.get(up[x], up[x])
+        return x
+
+    for u, v in edges.collect():
+        a, b = sorted((top(u), top(v)))
+        up[b] = a
+    rows = pd.DataFrame([(x, top(x)) for x in up], columns=["s", "root"], dtype="int64")
+    return edges.sparkSession.createDataFrame(rows[rows["s"] != rows["root"]], "s long, root long")
+
+
+def components(edges: DataFrame, in_driver: int = 100_000) -> DataFrame:
+    """s, root from edges (a, b): alternating large and small stars until nothing changes; at most in_driver edges reach the driver."""
     edges, last = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))), None
+    if edges.count() <= in_driver:
+        return _few_components(edges)
     while True:
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

@@ -162,6 +162,31 @@ def test_near_duplicates(spark):
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(sets[i]), root[i], root[i] == i) for i in sets}
 
 
+def test_near_duplicates_joins_two_hubs(spark):
+    """x and y are similar and have 120 edited copies each; no copy is similar to anything but its hub."""
+    rng = np.random.default_rng(11)
+    fresh = iter(range(10**6))
+
+    def edited(w, n):
+        w = list(w)
+        for i in rng.choice(len(w) // 6, n, replace=False):
+            w[6 * i] = f"e{next(fresh)}"
+        return w
+
+    x = [f"w{i}" for i in range(400)]
+    y = edited(x, 9)
+    texts = [" ".join(w) for w in [*(edited(x, 10) for _ in range(120)), x, y, *(edited(y, 10) for _ in range(120))]]
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert got.where("component_id = 0").count() == len(texts)
+
+
+def test_components_in_driver_and_not(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 30) if i % 10 < 9] + [(5, 2), (-7, 5)], "a long, b long")
+    want = {(i, -7) for i in range(10)} | {(i, i // 10 * 10) for i in range(10, 30) if i % 10}
+    assert set(map(tuple, near_dedup.components(edges).where("s <> root").collect())) == want
+    assert set(map(tuple, near_dedup.components(edges, 0).where("s <> root").collect())) == want
+
+
 def test_language_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     x = langid.identify(d, langid.train(d)).where("pmod(crc32(cast(doc_id as string)), 3) = 1")
