@@ -97,6 +97,16 @@ def test_quality_certifies_a_cutoff(spark):
     assert got.where("kept").count() == 6000 and got.where("kept and doc_id % 4 = 0").count() == 0
 
 
+def test_quality_certifies_small_strata(spark):
+    """Each stratum has 250 good documents, of which the strictest length cutoff alone would reject a fifth in `long`."""
+    good, bad, lengthy = (" ".join(f"{w}{i}" for i in range(60)) for w in ("w", "##", "abcdefg"))
+    text = f"case when id % 6 = 0 then '{bad}' when id % 5 = 0 and lang = 'long' then '{lengthy}' else '{good}' end text"
+    d = spark.range(1200).selectExpr("id doc_id", "if(id < 300, 'en', if(id < 600, 'de', if(id < 900, 'fr', 'long'))) lang").selectExpr("doc_id", text.replace("id", "doc_id"), "lang")
+    labels = d.selectExpr("doc_id", "if(doc_id % 6 = 0, 0, 1) quality", "0 toxic")
+    got = quality.quality(d, labels)
+    assert got.where("kept and doc_id % 6 = 0").count() == 0 and got.where("kept").count() == 1000
+
+
 def test_license(spark):
     texts = ["Under  the MIT License. cc-by-nc", "under the mit licence", "nothing", None, "undr the mit license apache license version 2"]
     got = by_id(license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
