@@ -13,6 +13,8 @@ from .common import U64, batches, combine, gram_hash, joined, mix, BYTE_VALUE
 
 LETTER = regex.compile(r"\p{L}")
 BUCKETS = 4096
+#: Typical subwords that a text's familiarity is averaged with, so that short texts aren't judged by a few subwords.
+PRIOR = 20
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -26,6 +28,13 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return bucket, owner[: len(bucket)]
 
 
+def plain(texts: list[bytes]) -> np.ndarray:
+    """Of each subword of features(): whether it is of letters (a-z and bytes above 127) and white space only."""
+    data, _ = joined(texts)
+    ok = (data >= 128) | ((data | 32) >= 97) & ((data | 32) <= 122) | (data == 32) | (data >= 9) & (data <= 13)
+    return ok[:-2] & ok[1:-1] & ok[2:]
+
+
 def averages(texts: list[bytes], table: np.ndarray) -> np.ndarray:
     """The mean of the table's rows over each text's subwords."""
     bucket, owner = features(texts)
@@ -34,21 +43,38 @@ def averages(texts: list[bytes], table: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """languages, scores by bucket (embedding times softmax weights), bias, temperature and the score below which texts are rejected."""
+    """languages, scores by bucket (embedding times softmax weights), bias, temperature; known is each bucket's log-likelihood in
+    a language over that in uniform noise, typical its mean in each language's training texts, and texts of a familiarity below
+    reject are rejected."""
 
-    def __init__(self, languages, table, bias, temperature=1.0, reject=0.0):
+    def __init__(self, languages, table, bias, temperature=1.0, reject=-np.inf, known=None, typical=None):
         self.languages, self.table, self.bias, self.temperature, self.reject = languages, table, bias, temperature, reject
+        self.known = np.zeros_like(table) if known is None else known
+        self.typical = np.zeros(len(languages)) if typical is None else typical
 
-    def probabilities(self, texts: list[bytes]) -> np.ndarray:
+    def judged(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The probabilities of the languages, and the text's familiarity as one of the likeliest language."""
         z = (averages(texts, self.table) + self.bias) / self.temperature
         z = np.exp(z - z.max(axis=1, keepdims=True))
-        return z / z.sum(axis=1, keepdims=True)
+        best = z.argmax(axis=1)
+        bucket, owner = features(texts)
+        ok = plain(texts)
+        bucket, owner = bucket[ok], owner[ok]
+        n = np.bincount(owner, minlength=len(texts))
+        total = np.bincount(owner, weights=self.known[bucket, best[owner]], minlength=len(texts))
+        return z / z.sum(axis=1, keepdims=True), (total + self.typical[best] * PRIOR) / (n + PRIOR)
+
+    def probabilities(self, texts: list[bytes]) -> np.ndarray:
+        return self.judged(texts)[0]
 
 
 def fit(texts: list[str], langs: list[str], dim: int = 16, epochs: int = 30, rate: float = 2.0, batch: int = 64, rejected: float = 0.001, seed: int = 7) -> Model:
-    """Stochastic gradient descent in numpy; the fifth that isn't trained on sets the temperature and the rejection score.
+    """Stochastic gradient descent in numpy; the fifth that isn't trained on sets the temperature and the rejection cutoff.
 
-    reject is the score under which at most the share `rejected` of right predictions on that fifth falls.
+    The softmax only compares the languages learned, so unlearned ones score high too. Rejection is by familiarity: the mean
+    log-likelihood of the text's subwords of letters under the predicted language's subword frequencies. reject is the familiarity under
+    which at most the share `rejected` of right predictions on that fifth falls; with less than 20 such texts only texts
+    without a letter are rejected.
     """
     languages = sorted(set(langs))
     if not languages:
@@ -79,7 +105,13 @@ def fit(texts: list[str], langs: list[str], dim: int = 16, epochs: int = 30, rat
             bias -= step * p.sum(axis=0)
             e -= step * 50 * (x[i].T @ ga)  # a bucket has a small share of each text
         rng.shuffle(train)
-    model = Model(languages, (e @ w).astype(np.float64), bias.astype(np.float64))
+    counts = np.full((BUCKETS, len(languages)), 0.5)
+    for i in train:
+        b = features([raw[i]])[0][plain([raw[i]])]
+        counts[:, y[i]] += np.bincount(b, minlength=BUCKETS) * (min(len(b), 2000) / max(1, len(b)))  # no long text outweighs the others
+    known = np.log(BUCKETS * counts / counts.sum(axis=0))
+    typical = ((counts - 0.5) * known).sum(axis=0) / np.maximum((counts - 0.5).sum(axis=0), 1)
+    model = Model(languages, (e @ w).astype(np.float64), bias.astype(np.float64), known=known, typical=typical)
     if len(held) >= 20:
         z = x[held] @ e @ w + bias
         best = (np.inf, 1.0)
@@ -87,10 +119,10 @@ def fit(texts: list[str], langs: list[str], dim: int = 16, epochs: int = 30, rat
             l = z / t - (z / t).max(axis=1, keepdims=True)
             best = min(best, (float(-(l[np.arange(len(held)), y[held]] - np.log(np.exp(l).sum(axis=1))).mean()), float(t)))
         model.temperature = best[1]
-        p = model.probabilities([raw[i] for i in held])
+        p, familiar = model.judged([raw[i] for i in held])
         right = p.argmax(axis=1) == y[held]
         if right.any():
-            model.reject = min(0.5, float(np.quantile(p.max(axis=1)[right], rejected)))
+            model.reject = float(np.quantile(familiar[right], rejected, method="lower"))
     return model
 
 
@@ -112,7 +144,7 @@ def train(docs: DataFrame, max_rows: int = 4000, max_chars: int = 20_000_000) ->
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs' columns with lang_pred, score (calibrated probability) and rejected (score too low, or no letter).
+    """docs' columns with lang_pred, score (calibrated probability) and rejected (too unlike the training texts, or no letter).
 
     Null texts and texts without a letter: `und`, score 0, rejected. Only text is read for the prediction; the model is a few hundred KB.
     Columns of these three names in docs are replaced. No shuffle.
@@ -125,7 +157,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         m = sent.value
         for rb in frames:
             texts = rb.column(rb.schema.get_field_index("text")).to_pylist()
-            pred, score = [], []
+            pred, score, low = [], [], []
             at, held = 0, 0
             for i, t in enumerate([*texts, None]):
                 held += len(t or "")
@@ -133,12 +165,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                     part = texts[at : i + 1] if i < len(texts) else texts[at:]
                     at, held = i + 1, 0
                     if part:
-                        p = m.probabilities([(x or "").encode() for x in part])
-                        for x, row in zip(part, p):
+                        p, familiar = m.judged([(x or "").encode() for x in part])
+                        for x, row, f in zip(part, p, familiar):
                             ok = x is not None and LETTER.search(x) is not None
                             pred.append(m.languages[int(row.argmax())] if ok else "und")
                             score.append(float(row.max()) if ok else 0.0)
-            low = [a == "und" or s < m.reject for a, s in zip(pred, score)]
+                            low.append(pred[-1] == "und" or bool(f < m.reject))
             cols = [*rb.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(low, pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, names=[*rb.schema.names, "lang_pred", "score", "rejected"])
 

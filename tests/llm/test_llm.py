@@ -203,6 +203,27 @@ def test_language_held_out(spark):
     assert x.where("lang_pred = lang").count() >= 0.97 * x.count() and x.where("rejected").count() <= 0.02 * x.count()
 
 
+UNLEARNED = {
+    "it": "La casa è molto grande e i bambini giocano nel giardino mentre la madre prepara la cena per tutta la famiglia",
+    "pt": "O menino foi à escola com os seus amigos e depois voltou para casa porque estava muito cansado e não queria brincar",
+    "nl": "Gisteren ben ik naar de winkel gegaan en heb ik brood, melk en een paar appels gekocht omdat de hele familie kwam",
+    "pl": "Wczoraj poszedłem do sklepu i kupiłem chleb, mleko oraz kilka jabłek, ponieważ przyjechała do nas cała rodzina",
+    "fi": "Eilen kävin kaupassa ja ostin leipää, maitoa ja muutaman omenan, koska koko perhe tuli meille kylään",
+    "ru": "Вчера я пошёл в магазин и купил хлеб, молоко и несколько яблок, потому что к нам приехала вся семья",
+    "ja": "昨日は店に行ってパンと牛乳とりんごを買いました。家族みんなが遊びに来たからです。",
+    "consonants": "xkcdvb wrtzpl qgfhdn mbvcxk trwqpl zsdfgh kjlmnb vcxzqw rtpsdf ghjklm nbvcxz qwrtps dfghjk lmnbvc",
+}
+
+
+def test_language_rejects_the_unlearned(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(d)
+    x = spark.createDataFrame(list(UNLEARNED.items()), "name string, text string")
+    assert langid.identify(x, model).where("not rejected").collect() == []
+    held = langid.identify(d, model).where("pmod(crc32(cast(doc_id as string)), 3) = 1 and lang_pred = lang")
+    assert held.where("rejected").count() <= 0.02 * held.count()
+
+
 def test_language_edges(docs):
     got = langid.identify(docs, langid.fit([], []))
     assert got.where("doc_id in (4, 5, 6)").where("lang_pred = 'und' and rejected").count() == 3
