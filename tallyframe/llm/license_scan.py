@@ -73,7 +73,13 @@ def fuzzy(text: str, notices: tuple[tuple[str, str], ...], per_edit: int = 10) -
     for i, have in stretches.items():
         pattern, _, _, label = rules[i]
         for a, b in have:
-            out += [(m.start(), m.end(), sum(m.fuzzy_counts), label) for m in pattern.finditer(text, a, b)]
+            gaps = [(a, b)]  # the best match of a stretch comes first, so both sides of it are searched again
+            while gaps:
+                a, b = gaps.pop()
+                m = pattern.search(text, a, b) if a < b else None
+                if m and m.end() > m.start():
+                    out.append((m.start(), m.end(), sum(m.fuzzy_counts), label))
+                    gaps += [(a, m.start()), (m.end(), b)]
     return sorted(set(out))
 
 

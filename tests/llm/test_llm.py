@@ -116,6 +116,12 @@ def test_license(spark):
     assert got[4].labels == "apache-2,mit"
 
 
+def test_license_keeps_fuzzy_places_before_an_exact_one():
+    text = "undr the mit license undr the mit license under the mit license"
+    found = [f for f in license_scan.fuzzy(text, tuple(license_scan.NOTICES.items()), 10) if f[3] == "mit"]
+    assert [(b, e) for _, b, e, _ in found] == [(20, 1), (41, 1), (63, 0)]
+
+
 def test_substring_dedup(unique, docs):
     first, size = {}, 13
     words = {r.doc_id: WORDS.findall(r.text or "") for r in unique.collect()}
