@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +23,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (tests), under a temporary folder."""
+    """A new folder under spark.checkpoint.dir, which the driver and all executors share; in one process, as in tests, it may be unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tallyframe-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/tallyframe-{os.getpid()}"
     return f"{base.rstrip('/')}/tf-{uuid.uuid4().hex}"
 
 
@@ -103,6 +107,27 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join(texts) + b"\n" if texts else b"", np.uint8), np.concatenate([[0], np.cumsum(sizes)])
 
 
+def slices(frames, limit: int = 1 << 19, column: str = "text"):
+    """Cuts Arrow batches so that each piece holds few texts or few bytes (or one long text): bounds a worker's memory."""
+    for rb in frames:
+        sizes = pc.fill_null(pc.binary_length(rb.column(rb.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(sizes, dtype=np.int64), 0
+        while at < len(sizes):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit)))
+            yield rb.slice(at, stop - at)
+            at = stop
+
+
+def ids_texts(frames, limit: int = 1 << 19, id_column: str = "doc_id"):
+    """Lists of ids (exact, null as None) and of texts (null as empty) of each slice."""
+    for rb in slices(frames, limit):
+        yield rb.column(rb.schema.get_field_index(id_column)).to_pylist(), [t or "" for t in rb.column(rb.schema.get_field_index("text")).to_pylist()]
+
+
+def arrow_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
 def batches(frames, column: str = "text", limit: int = 4 << 20):
     """Cuts pandas batches so that each piece holds few texts or few bytes: bounds a worker's memory."""
     for pdf in frames:
