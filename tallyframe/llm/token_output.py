@@ -2,29 +2,115 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import struct
 import zlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, shared_dir, stored
+from .common import arrow_batch, ids_texts, shared_dir, stored
 
 SKIPPABLE, TABLE, TABLE_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1  # fixed values of the zstandard formats
 
 
-@lru_cache(4)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+class Recent:
+    """A store of results by key: at most two generations of `size` keys (and one batch's), the older goes when the newer is full."""
+
+    def __init__(self, size: int):
+        self.size, self.kept, self.older = size, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """Those of the keys that aren't known; the others then stand in kept."""
+        if len(self.kept) > self.size:
+            self.kept, self.older = {}, self.kept
+        kept, older, out = self.kept, self.older, []
+        for key in keys.difference(kept):
+            have = older.get(key)
+            if have is None:
+                out.append(key)
+            else:
+                kept[key] = have
+        return out
 
-    return Tokenizer.from_file(path)
+
+class WordEncoder:
+    """Ids of whole texts by the tokenizers library, each distinct word encoded once and kept.
+
+    The tokenizer must treat the parts between ASCII white space apart, as its file does when its normaliser and its pattern
+    only join or match what no white space divides and drop white space itself; _drops_white_space checks that on the file,
+    and other files get whole texts. ASCII words are lower-cased and split further, into the pattern's matches, as the
+    library would. The library encodes each such part not met lately; words of over 64 bytes aren't kept.
+    """
+
+    def __init__(self, path: str, cache_size: int = 1 << 18):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path) as f:
+            self.by_word = _drops_white_space(json.load(f))
+        self.words, self.parts = Recent(cache_size), Recent(cache_size)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        if not self.by_word:
+            return self._encoded(texts)
+        found = [t.encode().split() for t in texts]  # bytes: ASCII white space only
+        new = self.words.missing(set().union(*found))
+        split = [ASCII_PARTS.findall(w.lower()) if w.isascii() and b"<|" not in w else [w] for w in new]
+        fresh = self.parts.missing(set().union(*split))
+        known = self.parts.kept
+        for at in range(0, len(fresh), 8192):
+            part = fresh[at : at + 8192]
+            known.update(zip(part, self._encoded([w.decode() for w in part])))
+        kept = self.words.kept
+        for word, parts in zip(new, split):
+            kept[word] = known[parts[0]] if len(parts) == 1 else b"".join([known[x] for x in parts])
+        out = [b"".join(map(kept.__getitem__, words)) for words in found]
+        for store, added in ((known, fresh), (kept, new)):
+            for word in added:
+                if len(word) > 64:
+                    del store[word]
+        return out
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return list(map(self._raw, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)))
+
+    @staticmethod
+    def _raw(encoding) -> bytes:
+        ids = encoding.ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _drops_white_space(config: dict) -> bool:
+    """Whether words can be encoded one by one: normalisers that act within words, and a first split that keeps no white space."""
+    parts = lambda x, name: (x or {}).get(name, [x] if x else [])
+    normal = [x["type"] for x in parts(config["normalizer"], "normalizers")][-1:] == ["Lowercase"] and all(x["type"] in ("NFC", "NFD", "Lowercase") or x["type"] == "Replace" and x["content"] == " " and x["pattern"] == {"Regex": "\\s+"} for x in parts(config["normalizer"], "normalizers"))
+    first = (parts(config["pre_tokenizer"], "pretokenizers") or [{}])[0]
+    pattern = (first.get("pattern") or {}).get("Regex", "")
+    # Fixed value: the one pattern known to match no white space and to need none on either side.
+    known = pattern == "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+    plain = not config["truncation"] and not config["padding"] and all(not (x["lstrip"] or x["rstrip"] or x["single_word"]) and " " not in x["content"] for x in config["added_tokens"])
+    return normal and plain and known and first.get("type") == "Split" and first.get("invert") is True and first.get("behavior") == "Removed"
+
+
+#: The pattern below on lower-case ASCII without white space.
+ASCII_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+
+
+@lru_cache(4)
+def _encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
 
 
 class FrameWriter:
@@ -38,10 +124,11 @@ class FrameWriter:
         self.out, self.frame_bytes, self.held, self.n_held = out, frame_bytes, [], 0
         self.docs, self.frames = [], []
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((doc_id or 0, doc_id is not None, len(ids), len(self.frames)))
-        self.held.append(ids.astype("<u4").tobytes())
-        self.n_held += 4 * len(ids)
+    def add(self, doc_id: int | None, raw: bytes) -> None:
+        """raw: ids as little-endian unsigned 32-bit integers."""
+        self.docs.append((doc_id or 0, doc_id is not None, len(raw) // 4, len(self.frames)))
+        self.held.append(raw)
+        self.n_held += len(raw)
         if self.n_held >= self.frame_bytes:
             self.flush()
 
@@ -105,64 +192,68 @@ class FrameReader:
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 2) -> DataFrame:
     """Writes one file for each range of doc_id and returns the manifest: part, path, n_docs, n_tokens.
 
-    Texts are dealt by doc_id range and sorted (equal ids by text; null ids first); each task encodes its texts
-    batch by batch and streams frames to a file under a name of its own attempt, moved into place at the end, so that lost or
-    repeated tasks leave one whole file. A null text is empty: its ids are the end id alone.
+    Texts are dealt by ranges of (doc_id, hash of the text, a random number), so that equal or null ids spread too, and sorted
+    (null ids first, equal ids by that hash). Each task encodes its texts slice by slice and streams frames to a file under
+    a name of its own attempt, moved into place at the end, so that lost or repeated tasks leave one whole file. A null text
+    is empty: its ids are the end id alone. Repeated rows each have a place; extra columns are not read; an empty table gives
+    no file.
     """
     folder = folder or shared_dir(docs.sparkSession)
+    schema = pa.schema([("part", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
+    end = struct.pack("<I", end_id)
 
     def run(frames):
         task = TaskContext.get()
         store, base = fs.FileSystem.from_uri(folder)
         part, tries = task.partitionId(), task.taskAttemptId()
         name, own, n_docs, n_tokens, writer = f"{base}/part-{part:06d}.zst", f"{base}/_try-{part}-{tries}", 0, 0, None
-        tok = _tokenizer(tokenizer_path)
-        for pdf in batches(frames, limit=1 << 20):
+        encoder = _encoder(tokenizer_path)
+        for doc_ids, texts in ids_texts(frames):
             if writer is None:
                 store.create_dir(base, recursive=True)
                 out = store.open_output_stream(own)
                 writer = FrameWriter(out)
-            for doc_id, e in zip(pdf["doc_id"], tok.encode_batch([t or "" for t in pdf["text"]], add_special_tokens=False)):
-                ids = np.array([*e.ids, end_id], np.uint32)
-                writer.add(None if pd.isna(doc_id) else int(doc_id), ids)
-                n_docs, n_tokens = n_docs + 1, n_tokens + len(ids)
+            for doc_id, raw in zip(doc_ids, encoder.encode(texts)):
+                writer.add(doc_id, raw + end)
+                n_docs, n_tokens = n_docs + 1, n_tokens + len(raw) // 4 + 1
         if writer is not None:
             writer.close()
             out.close()
             store.move(own, name)
-            yield pd.DataFrame({"part": [part], "path": [name], "n_docs": [n_docs], "n_tokens": [n_tokens]})
+            yield arrow_batch(schema, [part], [name], [n_docs], [n_tokens])
 
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(dealt.mapInPandas(run, "part long, path string, n_docs long, n_tokens long"))
+    keys = [F.col("doc_id"), F.xxhash64("text"), F.rand(7)]
+    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(*keys).sortWithinPartitions(*keys[:2])
+    return stored(dealt.mapInArrow(run, "part long, path string, n_docs long, n_tokens long"))
 
 
-def read_tokens(manifest: DataFrame, folder_uri: str | None = None) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document in the files of a manifest.
+def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document in the files of a manifest; folder: the URI they were written to.
 
     A file's start is the sum of the counts of the files before it. The manifest has one row a file, of some tens of MB
-    of text each, so the driver adds these up.
+    of text each, so a window over all of it is small.
     """
-    spark = manifest.sparkSession
-    rows, at = [], 0
-    for r in sorted(manifest.collect(), key=lambda r: r["part"]):
-        rows.append((r["path"], at))
-        at += r["n_tokens"]
-    base = folder_uri or "file:///"
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    files = stored(manifest.select("path", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).alias("start")))
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(frames):
-        store, _ = fs.FileSystem.from_uri(base)
-        for pdf in frames:
-            for path, start in zip(pdf["path"], pdf["start"]):
+        store, _ = fs.FileSystem.from_uri(folder)
+        for rb in frames:
+            for path, start in zip(*(c.to_pylist() for c in rb.columns)):
                 with store.open_input_file(path) as f:
-                    out = []
+                    rows = []
                     for doc_id, ids in FrameReader(f, f.size()):
-                        out.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
+                        rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
                         start += len(ids)
-                yield pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
-
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    files = spark.createDataFrame(rows, "path string, start long")
-    return files.repartition(max(1, len(rows))).mapInPandas(run, schema)
+                        if len(rows) == 10_000:
+                            yield arrow_batch(schema, *zip(*rows))
+                            rows = []
+                    if rows:
+                        yield arrow_batch(schema, *zip(*rows))
+
+    n = max(1, files.count())
+    return files.repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import io
 import re
+import zlib
 from collections import Counter
 from itertools import combinations
 
@@ -48,23 +49,78 @@ def test_bpe(docs, spark):
         assert r.decoded_sha256 == hashlib.sha256(want[r.doc_id].encode()).hexdigest()
 
 
+def test_bpe_registered_path(docs):
+    got = bpe.encode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, keep_ids=False)
+    whole = {(r.doc_id, r.decoded_sha256): r for r in bpe.encode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()}
+    assert "ids" not in got.columns and got.count() == docs.count()
+    for r in got.collect():
+        ids = whole[r.doc_id, r.decoded_sha256].ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_bpe_many_at_once_equals_one_by_one():
+    b, rng = bpe.encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), np.random.default_rng(2)
+    pieces = ["".join(rng.choice(list("aethnoéß ñ\u4e2d"), int(n))) for n in rng.integers(1, 20, 400)]
+    for width in (2, 4, 8, 16, 32, 64):
+        group = [x for x in (p.encode() for p in pieces) if width // 2 < len(x) <= width]
+        assert [x.tolist() for x in b.merge_many(group, width)] == [b.merge(x) for x in group] if group else True
+    long = " ".join(pieces * 30).encode()
+    assert b.decode(b.merge(long)) == long
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
 def test_token_files(docs):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     rows = token_output.token_files(docs, P.path("word_bpe_49k.json")).collect()
-    assert len(rows) == docs.count()
+    want = Counter((r.doc_id, crc([*tok.encode(r.text or "", add_special_tokens=False).ids, 2])) for r in docs.collect())
+    assert Counter((r.doc_id, r.ids_crc32) for r in rows) == want
     at = 0
-    for r in sorted(rows, key=lambda r: r.start):
+    ordered = sorted(rows, key=lambda r: r.start)
+    for r in ordered:
         assert r.start == at
         at += r.n_tokens
+    ids = [r.doc_id for r in ordered]
+    assert ids == sorted(ids, key=lambda x: -1 if x is None else x)
+    assert token_output.token_files(docs.limit(0), P.path("word_bpe_49k.json")).count() == 0
+
+
+def test_words_one_by_one_equal_whole_texts():
+    w, rng = token_output.WordEncoder(P.path("word_bpe_49k.json")), np.random.default_rng(4)
+    odd = ["'s \u03a3\u03b1\u03c2 <|endoftext|>x I'LL it's 12 3.5!!'s J\u030c I\u0307", "", "a" * 500]
+    letters = list("aZ'sTrReEvVmMlLdD! 019-<|>\x1c\x00\t\u0301\x85\xa0\u3000\u017f\u03a3\u03c3\u0130\u030c")
+    texts = odd + ["".join(rng.choice(letters, 60)) for _ in range(500)]
+    whole = [e.ids for e in w.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert w.by_word and [np.frombuffer(x, "<u4").tolist() for x in w.encode(texts)] == whole
+
+
+def test_frames():
     out = io.BytesIO()
     w = token_output.FrameWriter(out, 64)
     for i in range(50):
-        w.add(i, np.arange(i))
+        w.add(i, np.arange(i, dtype="<u4").tobytes())
     w.close()
     data = out.getvalue()
-    assert token_output.FrameReader(io.BytesIO(data), len(data)).document(33).tolist() == list(range(33))
-    broken = io.BytesIO(b"\0" * 30 + data[30:])
-    with pytest.raises(Exception):
-        list(token_output.FrameReader(broken, len(data)))
+    reader = token_output.FrameReader(io.BytesIO(data), len(data))
+    assert reader.document(33).tolist() == list(range(33)) and len(reader.frames) > 3
+    broken = bytearray(data)
+    broken[len(data) - 9 - 12 * len(reader.frames) + 8] ^= 1  # the stored checksum of the first frame
+    with pytest.raises(ValueError, match="frame 0 is damaged"):
+        list(token_output.FrameReader(io.BytesIO(bytes(broken)), len(data)))
+
+
+BIG = 9007199254740993
+
+
+def test_ids_beyond_doubles_stay_exact(spark):
+    df = spark.createDataFrame([(BIG, "a b c", None), (None, "a b c d", None)], "doc_id long, text string, lang string")
+    made = [token_output.token_files(df, P.path("word_bpe_49k.json")), bpe.encode(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)]
+    for got in made:
+        assert {r.doc_id for r in got.collect()} == {BIG, None}
 
 
 def test_mixing(docs):
