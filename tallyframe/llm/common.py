@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -39,6 +40,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more, and lets Spark drop the shuffle files of their plans."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
+
+
 def small_side(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     """df stored, with a broadcast hint only if it is counted to have at most max_rows rows."""
     df = stored(df)
@@ -69,22 +82,9 @@ def gram_hash(symbols: np.ndarray, n: int) -> np.ndarray:
     return mix(h + U64(n))
 
 
-_POWERS: dict[int, np.ndarray] = {}
-_BASE = 0x5851F42D4C957F2D
-_INVERSE = pow(_BASE, -1, 1 << 64)
 BYTE_VALUE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        m = 1 << max(16, (n - 1).bit_length())
-        have = np.full(m, base, U64)
-        have[0] = 1
-        have = _POWERS[base] = np.multiply.accumulate(have)
-    return have[:n]
-
-
 def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words in an array of UTF-8 bytes."""
     inside = np.zeros(len(data) + 2, np.int8)
@@ -94,11 +94,20 @@ def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges: differences of prefix sums of a polynomial, mixed with the length."""
-    n = len(data)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(BYTE_VALUE[data] * _powers(_BASE, n), out=total[1:])
-    return mix((total[ends] - total[starts]) * _powers(_INVERSE, n + 1)[starts] + (ends - starts).astype(U64) * U64(0xA0761D6478BD642F))
+    """64-bit hashes of the byte ranges: their 8-byte blocks mixed in one after another, from their length."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    blocks = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))  # the block at each byte
+    size = (ends - starts).astype(U64)
+    h, left, rows = mix(size + U64(0xA0761D6478BD642F)), size.astype(np.int64), np.arange(len(starts))
+    at = starts.copy()
+    while len(rows):
+        short = np.maximum(8 - left[rows], 0).astype(U64) * U64(8)
+        h[rows] = combine(h[rows], blocks[at[rows]] << short >> short)
+        at[rows] += 8
+        left[rows] -= 8
+        rows = rows[left[rows] > 0]
+    return h
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

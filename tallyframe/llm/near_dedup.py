@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, U64, batches, gram_hash, joined, mix, stored, word_hashes, words_of
+from .common import NULL_ID, U64, arrow_batch, discard, gram_hash, ids_texts, joined, mix, slices, small_side, stored, word_hashes, words_of
 
-BANDS, ROWS, WIDTH = 42, 4, 5
+BANDS, ROWS, WIDTH = 64, 8, 5
+BINS = BANDS * ROWS
+LONGS = [f"b{i}" for i in range(BINS // 64)]
+#: Of two sets at similarity 0.75, bits differ with a chance of 1/8 each: 64 of 512 on average, standard deviation 7.5.
+FAR_BITS = 100
 
 
-def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text."""
-    data, at = joined(texts)
+    data, at = joined([t.encode() for t in texts])
     data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
     starts, ends = words_of(data)
     symbols = word_hashes(data, starts, ends)
@@ -33,103 +39,117 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
 def _donors(bins: int, tries: int = 1024) -> np.ndarray:
     """The bins that an empty bin asks in turn: random, the same for all texts."""
     x = mix(np.arange(1, bins * tries + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
-    return (x % U64(bins)).astype(np.int64).reshape(bins, tries)
+    return (x % U64(bins)).astype(np.int32).reshape(bins, tries)
 
 
-DONORS = _donors(BANDS * ROWS)
+DONORS = _donors(BINS)
+PLACE = np.arange(BINS, dtype=U64)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     """One permutation, split into bins; each empty bin takes the value of the first full one among its donors."""
-    bins = BANDS * ROWS
     x = np.sort(mix(shingles + U64(0x51ED270B)))
-    of = ((x >> U64(32)) * U64(bins)) >> U64(32)
-    first = np.searchsorted(of, np.arange(bins, dtype=U64))
-    full = (first < len(x)) & (of[np.minimum(first, len(x) - 1)] == np.arange(bins, dtype=U64))
-    out = x[np.minimum(first, len(x) - 1)]
+    of = ((x >> U64(32)) * U64(BINS)) >> U64(32)
+    first = np.searchsorted(of, PLACE)
+    at = np.minimum(first, len(x) - 1)
+    full, out = of[at] == PLACE, x[at]
     empty = np.flatnonzero(~full)
-    for tries in (32, DONORS.shape[1]):
+    for tries in (8, 64, DONORS.shape[1]):
+        if not len(empty):
+            return out
         hit = full[DONORS[empty, :tries]]
         pick = hit.argmax(axis=1)
         found = hit[np.arange(len(empty)), pick]
         out[empty[found]] = x[first[DONORS[empty[found], pick[found]]]]
         empty = empty[~found]
-    out[empty] = x[0]  # after 1,024 tries: even three full bins come to this with a chance of 2e-8
+    out[empty] = x[0]  # after 1,024 tries: a bin of a set with three full bins comes to this with a chance of 0.3 %
     return out
 
 
-def bucket_keys(shingles: np.ndarray) -> np.ndarray:
-    """Band hashes of the signature."""
-    sig = signature(shingles).reshape(BANDS, ROWS)
-    key = sig[:, 0]
+def sketch(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Band hashes of the signature, and one bit for each bin, as longs: of two sets these bits agree with a chance of (1 + similarity) / 2."""
+    sig = signature(shingles)
+    bits = np.packbits((mix(sig + PLACE) >> U64(63)).astype(np.uint8)).view(np.int64)
+    rows = sig.reshape(BANDS, ROWS)
+    key = rows[:, 0]
     for r in range(1, ROWS):
-        key = mix(key) + sig[:, r]
-    return np.unique(mix(key + np.arange(BANDS, dtype=U64)))
+        key = mix(key) + rows[:, r]
+    return np.unique(mix(key + PLACE[:BANDS])).view(np.int64), bits
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b and other columns) with 100 * intersection >= 75 * union on the full sets."""
+    """The pairs (a, b and other columns) with 100 * intersection >= 75 * union on the full sets; only sets of some pair are moved."""
+    needed = small_side(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct())
+    sets = sets.join(needed, "s", "left_semi")
     x = pairs.join(sets.select(F.col("s").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("s").alias("b"), F.col("sh").alias("y")), "b")
     x = x.select(*pairs.columns, F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("n"))
     return x.where("100 * i >= 75 * (n - i)").select(*pairs.columns)
 
 
 def links(keys: DataFrame, sets: DataFrame, max_centres: int = 64) -> DataFrame:
-    """Confirmed links (a, b) that connect what the buckets connect.
-
-    Each round stars some members of each bucket, the centres, against all members of other components (c, by the links confirmed
-    so far). A centre then leaves the bucket: each of its pairs is compared or within one component. A bucket ends when its members
-    are of one component, so each similar pair of a bucket ends in one component, also when both are linked to others. Centres are
-    the members of the most links, likely hubs, and of the fewest, likely apart; there are twice as many each round, up to
-    max_centres of each kind. Every round takes a centre out of each bucket, so the rounds end without a limit.
+    """Confirmed links (a, b) that connect what the buckets connect; keys: k (bucket), s (set), n (its size) and its bits.
+
+    Each round emits stars: some members of each bucket, the centres, against its members of other components (c, by the links
+    confirmed so far). Pairs whose bits are too far apart for similarity 0.75 are left out within that join, so a pair costs a
+    few instructions and only likely links are emitted. A centre then leaves the bucket, as all its pairs there are compared or
+    within one component, and the bucket ends when its members are of one component. The first centre of all buckets follows
+    one order, so that buckets of one group share it; later ones are of the components that have the fewest members in the bucket, twice
+    as many each round, up to max_centres. Every round takes a centre out of each bucket, so the rounds end without a limit.
     """
-    open_rows, found, centres = stored(keys.select("k", "s", "n", F.col("s").alias("c"), F.lit(0).cast("long").alias("hits"))), [], 1
+    open_rows, found, centres = stored(keys.withColumn("c", F.col("s"))), [], 1
+    member = F.struct(F.xxhash64("s").alias("order"), "s", "n", *LONGS)
+    far = reduce(lambda x, y: x + y, [F.bit_count(F.col(b).bitwiseXOR(F.col(f"z{b}"))) for b in LONGS])
     while True:
-        salt = F.pmod(F.xxhash64("s", F.lit(centres)), F.lit(centres))
-        member = F.struct("hits", "s", "n", "c")
-        lead = open_rows.groupBy("k", salt.alias("salt")).agg(F.explode(F.array_distinct(F.array(F.min(member), F.max(member)))).alias("m"))
-        lead = lead.select("k", F.col("m.s").alias("z"), F.col("m.n").alias("zn"), F.col("m.c").alias("zc"))
-        star = open_rows.join(lead, "k").where("c <> zc and 100 * least(n, zn) >= 75 * greatest(n, zn)")
-        pairs = star.select(F.least("s", "z").alias("a"), F.greatest("s", "z").alias("b"), F.least("c", "zc").alias("low"), F.greatest("c", "zc").alias("high")).distinct()
+        of_component = open_rows.groupBy("k", "c").agg(F.count("*").alias("share"), F.min(member).alias("m"))
+        few = Window.partitionBy("k").orderBy("share" if found else F.lit(0), "m.order", "c")
+        lead = of_component.withColumn("r", F.row_number().over(few)).where(F.col("r") <= centres)
+        lead = stored(lead.select("k", F.col("m.s").alias("z"), F.col("m.n").alias("zn"), F.col("c").alias("zc"), *[F.col(f"m.{b}").alias(f"z{b}") for b in LONGS]))
+        star = open_rows.join(lead, "k").where("c <> zc and 100 * least(n, zn) >= 75 * greatest(n, zn)").where(far <= FAR_BITS)
+        pairs = stored(star.select(F.least("s", "z").alias("a"), F.greatest("s", "z").alias("b"), F.least("c", "zc").alias("low"), F.greatest("c", "zc").alias("high")).distinct())
         good = stored(_confirmed(pairs, sets))
         found.append(good.select("a", "b"))
         rest = open_rows.join(lead.select("k", F.col("z").alias("s")), ["k", "s"], "left_anti")
         if not good.isEmpty():
-            more = good.select(F.explode(F.array("a", "b")).alias("s")).groupBy("s").agg(F.count("*").alias("more"))
             roots = components(good.select(F.col("low").alias("a"), F.col("high").alias("b")).distinct()).withColumnRenamed("s", "c")
-            rest = rest.join(more, "s", "left").join(roots, "c", "left")
-            rest = rest.select("k", "s", "n", F.coalesce("root", "c").alias("c"), (F.col("hits") + F.coalesce("more", F.lit(0))).alias("hits"))
+            rest = rest.join(small_side(roots), "c", "left").withColumn("c", F.coalesce("root", "c")).drop("root")
+        rest = stored(rest)
         live = rest.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("k")
-        open_rows, centres = stored(rest.join(live, "k")), min(2 * centres, max_centres)
+        next_rows, centres = stored(rest.join(live, "k")), min(2 * centres, max_centres)
+        discard(open_rows, lead, pairs, rest)
+        open_rows = next_rows
         if open_rows.isEmpty():
             break
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return stored(out.distinct())
+    return stored(reduce(DataFrame.unionByName, found).distinct())
 
 
 def _few_components(edges: DataFrame) -> DataFrame:
-    """components() of few edges, by union-find in the driver."""
-    up: dict[int, int] = {}
+    """components() of few edges, by union-find in one task."""
+    out = pa.schema([("s", pa.int64()), ("root", pa.int64())])
+
+    def run(frames):
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while up.get(x, x) != x:
+                up[x] = x = up.get(up[x], up[x])
+            return x
 
-    def top(x: int) -> int:
-        while up.get(x, x) != x:
-            up[x] = x = up.get(up[x], up[x])
-        return x
+        for rb in frames:
+            for u, v in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):
+                a, b = sorted((top(u), top(v)))
+                up[b] = a
+        rows = [(x, top(x)) for x in up if top(x) != x]
+        if rows:
+            yield arrow_batch(out, *zip(*rows))
 
-    for u, v in edges.collect():
-        a, b = sorted((top(u), top(v)))
-        up[b] = a
-    rows = pd.DataFrame([(x, top(x)) for x in up], columns=["s", "root"], dtype="int64")
-    return edges.sparkSession.createDataFrame(rows[rows["s"] != rows["root"]], "s long, root long")
+    return edges.select("u", "v").coalesce(1).mapInArrow(run, "s long, root long")
 
 
-def components(edges: DataFrame, in_driver: int = 100_000) -> DataFrame:
-    """s, root from edges (a, b): alternating large and small stars until nothing changes; at most in_driver edges reach the driver."""
+def components(edges: DataFrame, in_one_task: int = 100_000) -> DataFrame:
+    """s, root from edges (a, b): alternating large and small stars until nothing changes; up to in_one_task counted edges, union-find in a task."""
     edges, last = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))), None
-    if edges.count() <= in_driver:
-        return _few_components(edges)
+    if edges.count() <= in_one_task:
+        return stored(_few_components(edges))
     while True:
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -137,8 +157,9 @@ def components(edges: DataFrame, in_driver: int = 100_000) -> DataFrame:
         large = stored(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low).distinct()
-        edges = stored(small)
+        before, edges = edges, stored(small)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        discard(before, large)
         if now == last:
             return edges.select(F.col("u").alias("s"), F.col("v").alias("root"))
         last = now
@@ -148,51 +169,67 @@ def _set_id(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document.
-
-    Words are lower-cased (A-Z); a set is the distinct 5-word shingles, or the whole text if shorter. Equal sets form a class
-    (by a 64-bit hash); one set of each class is compared. Null or empty texts: n_shingles 0, a component of their own. A null doc_id keeps a null
-    component_id if alone and counts as none otherwise; kept is then false unless alone. Rows of equal doc_id each have a row.
-    """
-
-    ids = docs.select(F.col("doc_id").cast("long"), "text")
+def _of_rows(docs: DataFrame, row: F.Column) -> DataFrame:
+    """doc_id, t (row: a hash that tells rows of one doc_id apart), n, component_id, kept of every row."""
+    ids = docs.select(F.col("doc_id").cast("long"), row.alias("t"), "text")
+    first = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("keys", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
     def run(frames):
-        for pdf in batches(frames):
-            sets = shingle_sets([(t or "").encode() for t in pdf["text"]])
-            keys = [bucket_keys(x).view(np.int64) if len(x) else np.empty(0, np.int64) for x in sets]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": [len(x) for x in sets], "s": pd.array([_set_id(x) if len(x) else None for x in sets], dtype="Int64"), "keys": keys})
-
-    sets = stored(ids.mapInPandas(run, "doc_id long, n long, s long, keys array<long>"))
-    of_class = sets.where("s is not null").groupBy("s").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    reps = stored(of_class)
-    keys = reps.select(F.explode("keys").alias("k"), "s", "n")
-    shared = keys.groupBy("k").count().where("count > 1").select("k")
-    keys = stored(keys.join(shared, "k"))
+        for rb in slices(frames):
+            sets = shingle_sets([t or "" for t in rb.column(2).to_pylist()])
+            made = [sketch(x) if len(x) else ([], []) for x in sets]
+            yield arrow_batch(first, rb.column(0), rb.column(1), [len(x) for x in sets], [_set_id(x) if len(x) else None for x in sets], [k for k, _ in made], [b for _, b in made])
+
+    sets = stored(ids.mapInArrow(run, "doc_id long, t long, n long, s long, keys array<long>, bits array<long>"))
+    name = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("d"), "t")
+    reps = stored(sets.where("s is not null").groupBy("s").agg(F.min(name).alias("low"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")))
+    keys = reps.select(F.explode("keys").alias("k"), "s")
+    shared = stored(keys.groupBy("k").agg(F.min("s").alias("x"), F.max("s").alias("y")).where("x <> y").select("k"))
+    met = stored(keys.join(shared, "k"))
+    keys = met.join(reps.select("s", "n", *[F.get("bits", F.lit(i)).alias(b) for i, b in enumerate(LONGS)]), "s")
 
     # Full sets of one document of each class that shares a bucket, from its text: sets are larger than texts.
-    wanted = reps.join(keys.select("s").distinct(), "s", "left_semi").select(F.coalesce("low", F.lit(NULL_ID)).alias("d"), F.col("s").alias("want"))
-    texts = ids.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("d"), "text").join(wanted, "d")
+    wanted = reps.join(met.select("s").distinct(), "s", "left_semi").select("low.d", "low.t", F.col("s").alias("want"))
+    texts = ids.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("d"), "t", "text").join(wanted, ["d", "t"]).select("want", "text")
+    again_schema = pa.schema([("s", pa.int64()), ("sh", pa.list_(pa.int64()))])
 
     def again(frames):
-        for pdf in batches(frames):
-            sets = shingle_sets([(t or "").encode() for t in pdf["text"]])
-            same = [len(x) > 0 and _set_id(x) == w for x, w in zip(sets, pdf["want"])]
-            yield pd.DataFrame({"s": pdf["want"][same].to_numpy(), "sh": [x.view(np.int64) for x, ok in zip(sets, same) if ok]})
+        for want, texts_ in ids_texts(frames, id_column="want"):
+            kept = [(w, x.view(np.int64)) for w, x in zip(want, shingle_sets(texts_)) if len(x) and _set_id(x) == w]
+            if kept:
+                yield arrow_batch(again_schema, *zip(*kept))
 
-    full = stored(texts.mapInPandas(again, "s long, sh array<long>").dropDuplicates(["s"]))
+    full = stored(texts.mapInArrow(again, "s long, sh array<long>").dropDuplicates(["s"]))
     roots = components(links(keys, full))
-    joined_ = reps.select("s", "low").join(roots, "s", "left").select("s", "low", F.coalesce("root", "s").alias("root"))
-    joined_ = stored(joined_)
-    least = joined_.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_set = joined_.join(least, "root").select("s", "component_id")
-    out = sets.select("doc_id", F.col("n").alias("n_shingles"), "s").join(of_set, "s", "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
+    discard(full, met, shared)
+    of_set = stored(reps.select("s", "low").join(roots, "s", "left").select("s", "low", F.coalesce("root", "s").alias("root")))
+    of_set = of_set.join(of_set.groupBy("root").agg(F.min("low").alias("least")), "root").select("s", "least")
+    out = sets.select("doc_id", "t", "n", "s").join(of_set, "s", "left")
+    alone = F.col("least").isNull()
+    return out.select(
+        "doc_id",
+        "t",
+        "n",
+        F.when(alone, F.col("doc_id")).otherwise(F.nullif(F.col("least.d"), F.lit(NULL_ID))).alias("component_id"),
+        F.when(alone, F.lit(True)).otherwise(name == F.col("least")).alias("kept"),
+    )
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document.
+
+    Words are lower-cased (A-Z); a set is the distinct 5-word shingles, or the whole text if shorter. Equal sets form a class
+    (by a 64-bit hash); one set of each class is compared. Null or empty texts: n_shingles 0, a component of their own, kept. Null
+    doc_ids come last: a component of such documents only has a null component_id. kept: the document of the smallest
+    doc_id of its component, and of rows of one (or no) doc_id the one of the lowest text hash, so rows of the same doc_id and
+    text are kept or not together. An empty table gives no rows; extra columns are not read.
+    """
+    return _of_rows(docs, F.xxhash64("text")).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents that are their component's smallest doc_id."""
-    keep = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    """The rows that near_duplicates keeps, one for each component; of rows equal in all columns one stays. Column names may be any."""
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    keep = _of_rows(docs, row).where("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__d"), F.col("t").alias("__t")).distinct()
+    keyed = docs.withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("__t", row)
+    return keyed.join(keep, ["__d", "__t"], "left_semi").dropDuplicates(["__d", "__t"]).drop("__d", "__t")

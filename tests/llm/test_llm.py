@@ -252,7 +252,33 @@ def test_near_duplicates_joins_two_hubs(spark):
     assert got.where("component_id = 0").count() == len(texts)
 
 
-def test_components_in_driver_and_not(spark):
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    """Null ids, rows of one id, repeated rows, empty texts, an id beyond doubles, a clashing column."""
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join([*base[:90], f"x{i}"]) for i in range(20)]
+    rows = [(None, t, 1) for t in texts] + [(7, "a b c d e f", 1), (7, "a b c d e f", 1), (7, "g h i j k l", 1), (None, None, 1), (None, "", 1), (8, " ", 1), (BIG, "a b c d e f", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k int")
+    got = near_dedup.near_duplicates(df)
+    assert got.count() == len(rows) and got.where("doc_id is null and n_shingles > 0 and kept").count() == 1
+    assert got.where("n_shingles = 0 and kept").count() == 3
+    assert {(r.doc_id, r.component_id, r.kept) for r in got.where(f"doc_id in (7, {BIG})").collect()} == {(7, 7, True), (BIG, 7, False)}
+    left = near_dedup.drop_near_duplicates(df)
+    assert left.columns == df.columns and sorted(left.groupBy("doc_id").count().na.fill(-1).collect()) == [(-1, 3), (7, 2), (8, 1)]
+    assert near_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_long_words_have_hashes_of_their_own(spark):
+    """Sequences that a polynomial modulo 2^64 can't tell apart."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    df = spark.createDataFrame([(0, a), (1, b)], "doc_id long, text string")
+    assert near_dedup.near_duplicates(df).where("kept").count() == 2
+    long = [(0, " ".join([a] * 13)), (1, " ".join([b] * 13))]
+    assert substring_dedup.dedup_words(spark.createDataFrame(long, "doc_id long, text string")).where("n_removed > 0").count() == 0
+
+
+def test_components_in_one_task_and_not(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 30) if i % 10 < 9] + [(5, 2), (-7, 5)], "a long, b long")
     want = {(i, -7) for i in range(10)} | {(i, i // 10 * 10) for i in range(10, 30) if i % 10}
     assert set(map(tuple, near_dedup.components(edges).where("s <> root").collect())) == want
