@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import io
+import os
 import re
 import zlib
 from collections import Counter
@@ -204,6 +205,67 @@ def test_suffix_dedup(unique):
         assert x.n_spans == sum(j - 1 not in gone for j in gone)
 
 
+def test_suffix_array_and_common_prefixes():
+    rng = np.random.default_rng(6)
+    for data in (b"", b"a", b"banana", b"zzzzzzzzz", b"mississippi" * 9, bytes(rng.integers(0, 3, 700, dtype=np.uint8)), bytes(rng.integers(250, 256, 300, dtype=np.uint8))):
+        t = np.frombuffer(data, np.uint8)
+        order = suffix_dedup.suffix_array(t, 1000).tolist()
+        assert order == sorted(range(len(t)), key=lambda i: data[i:])
+        want = [0] * min(1, len(t)) + [len(os.path.commonprefix([data[a:], data[b:]])) for a, b in zip(order, order[1:])]
+        assert suffix_dedup.common_prefixes(t, np.array(order, np.int64), 1000).tolist() == want
+
+
+def test_automaton_finds_the_smallest_document():
+    rng = np.random.default_rng(7)
+    texts = ["".join(rng.choice(list("ab"), int(n))) for n in rng.integers(0, 60, 30)]
+    automaton, numbers = substring_dedup.Automaton(), rng.permutation(30).tolist()
+    for t, n in zip(texts, numbers):
+        automaton.add(t, n)
+    automaton.close()
+    for t in [*texts, "abab" * 20, "c" * 9 + texts[0]]:
+        want = [min((n for x, n in zip(texts, numbers) if t[i : i + 6] in x), default=None) for i in range(len(t) - 5)]
+        assert list(automaton.statistics(t, 6)) == want
+
+
+def planted(spark, n=60, copies=40):
+    """Documents with passages that many share, repeats within one, copies, ties and an id beyond doubles."""
+    rng = np.random.default_rng(9)
+    word = lambda k: " ".join(f"w{x}" for x in rng.integers(0, 9999, k))
+    shared = [word(40), word(30), "z" * 300]
+    rows = [(i, " ".join([word(int(rng.integers(0, 50))), shared[i % 3], word(int(rng.integers(0, 30))), shared[0] if i % 7 == 0 else ""])) for i in range(n)]
+    rows += [(100 + i, " ".join([shared[0], word(5)])) for i in range(copies)] + [(BIG, rows[3][1]), (-5, rows[8][1])]
+    return [(i, t, "x") for i, t in rows]
+
+
+@pytest.mark.parametrize("often", [512, 3])
+def test_planted_passages(spark, monkeypatch, often):
+    """Both with and without the second exchange, for very frequent anchors."""
+    from tallyframe.llm import repeats
+
+    rows = planted(spark)
+    df = spark.createDataFrame(rows, "doc_id long, text string, f string").repartition(5)
+    monkeypatch.setattr(repeats, "OFTEN", often)
+    monkeypatch.setattr(repeats, "BLOCK_ROWS", 7)
+    first: dict = {}
+    words = {i: t.split() for i, t, _ in rows}
+    for i, w in sorted(words.items()):
+        for j in range(len(w) - 12):
+            first.setdefault(tuple(w[j : j + 13]), i)
+    got = by_id(substring_dedup.dedup_words(df))
+    for i, w in words.items():
+        gone = {j + k for j in range(len(w) - 12) if first[tuple(w[j : j + 13])] < i for k in range(13)}
+        assert got[i].text == " ".join(x for j, x in enumerate(w) if j not in gone) and got[i].n_removed == len(gone)
+    seen, got = set(), by_id(suffix_dedup.dedup_bytes(df))
+    for i, t, _ in sorted(rows):
+        data, gone = t.encode(), set()
+        for j in range(len(data) - 99):
+            if data[j : j + 100] in seen:
+                gone.update(range(j, j + 100))
+            seen.add(data[j : j + 100])
+        assert bytes(got[i].kept) == bytes(c for j, c in enumerate(data) if j not in gone)
+        assert got[i].n_spans == sum(j - 1 not in gone for j in gone)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.integers(-3, 3, 4)]) for i in range(90)] + [(90, None), (91, [1.0, None, 1.0, 1.0]), (92, [float("nan")] * 4)]
