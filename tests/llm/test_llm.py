@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import io
+import math
 import os
 import re
 import zlib
@@ -266,13 +267,31 @@ def test_planted_passages(spark, monkeypatch, often):
         assert got[i].n_spans == sum(j - 1 not in gone for j in gone)
 
 
-def test_top_k(spark):
+def brute_top_k(rows, k=20):
+    v = {}
+    for i, x in rows:
+        v.setdefault(i, []).append([math.floor(64 * float(y)) for y in x])
+    out = set()
+    for q in v:
+        if q % 20 == 0:
+            own = min(v[q])
+            every = sorted((-sum(a * b for a, b in zip(own, c)), i) for i, cs in v.items() if i != q for c in cs if len(c) == len(own))
+            out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(every[:k])}
+    return out
+
+
+def test_top_k(spark, monkeypatch):
+    """Ties, repeated and negative ids, other lengths, odd vectors, large components; blocks of a few rows."""
     rng = np.random.default_rng(1)
-    rows = [(i, [float(x) for x in rng.integers(-3, 3, 4)]) for i in range(90)] + [(90, None), (91, [1.0, None, 1.0, 1.0]), (92, [float("nan")] * 4)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    v = {i: np.floor(np.array(x) * 64).astype(int) for i, x in rows[:90]}
-    want = {(q, k + 1, c, -s) for q in range(0, 90, 20) for k, (s, c) in enumerate(sorted((-int(v[q] @ v[c]), c) for c in v if c != q)[:20])}
+    good = [(i, [float(x) for x in rng.integers(-3, 3, 5)]) for i in range(-40, 90)] + [(200 + i, [1.0, 0.5, 0.25, 2.0, 1.0]) for i in range(60)]
+    good += [(i, [float(x) for x in rng.normal(0, 1e6, 5)]) for i in range(300, 330)] + [(20, [9.0] * 5), (41, [1.0, 2.0]), (60, [1.0, 1.0]), (400, [0.5]), (401, [2.0])]
+    odd = [(90, None), (91, [1.0, None, 1.0, 1.0]), (92, [float("nan")] * 4), (93, [float("inf")]), (None, [1.0]), (94, []), (500, [1e18])]
+    df = spark.createDataFrame([(*r, "x") for r in good + odd], "vec_id long, embedding array<double>, score string")
+    want = brute_top_k(good)
+    assert set(map(tuple, topk.top_k(df).collect())) == want
+    monkeypatch.setattr(topk, "BLOCK", 16)
     assert set(map(tuple, topk.top_k(df).collect())) == want
+    assert topk.top_k(df.limit(0)).count() == 0
 
 
 def test_near_duplicates(spark):
