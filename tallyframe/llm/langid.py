@@ -17,27 +17,23 @@ BUCKETS = 4096
 PRIOR = 20
 
 
-def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each subword (3 bytes of lower-cased text, spaces for white space) and its text's number."""
+def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket of each subword (3 bytes of lower-cased text, spaces for white space; a text ends in one), its text's number, and
+    whether it is of letters (a-z and bytes above 127) and white space only. No subword reaches into the next text."""
     data, at = joined(texts)
     data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
     data = np.where((data >= 9) & (data <= 13), 32, data).astype(np.uint8)
     owner = np.repeat(np.arange(len(texts)), np.diff(at))
     h = gram_hash(BYTE_VALUE[data], 3)
-    bucket = (h % U64(BUCKETS)).astype(np.int32)
-    return bucket, owner[: len(bucket)]
-
-
-def plain(texts: list[bytes]) -> np.ndarray:
-    """Of each subword of features(): whether it is of letters (a-z and bytes above 127) and white space only."""
-    data, _ = joined(texts)
-    ok = (data >= 128) | ((data | 32) >= 97) & ((data | 32) <= 122) | (data == 32) | (data >= 9) & (data <= 13)
-    return ok[:-2] & ok[1:-1] & ok[2:]
+    inside = owner[: len(h)] == owner[len(owner) - len(h) :]
+    letters = (data >= 128) | (data >= 97) & (data <= 122) | (data == 32)
+    letters = letters[:-2] & letters[1:-1] & letters[2:] if len(data) > 2 else np.zeros(0, bool)
+    return (h % U64(BUCKETS)).astype(np.int32)[inside], owner[: len(h)][inside], letters[inside]
 
 
 def averages(texts: list[bytes], table: np.ndarray) -> np.ndarray:
     """The mean of the table's rows over each text's subwords."""
-    bucket, owner = features(texts)
+    bucket, owner, _ = features(texts)
     count = np.maximum(np.bincount(owner, minlength=len(texts)), 1)
     return np.column_stack([np.bincount(owner, weights=table[bucket, j], minlength=len(texts)) / count for j in range(table.shape[1])])
 
@@ -57,8 +53,7 @@ class Model:
         z = (averages(texts, self.table) + self.bias) / self.temperature
         z = np.exp(z - z.max(axis=1, keepdims=True))
         best = z.argmax(axis=1)
-        bucket, owner = features(texts)
-        ok = plain(texts)
+        bucket, owner, ok = features(texts)
         bucket, owner = bucket[ok], owner[ok]
         n = np.bincount(owner, minlength=len(texts))
         total = np.bincount(owner, weights=self.known[bucket, best[owner]], minlength=len(texts))
@@ -84,7 +79,7 @@ def fit(texts: list[str], langs: list[str], dim: int = 16, epochs: int = 30, rat
     raw = [t.encode() for t in texts]
     x = np.zeros((len(raw), BUCKETS), np.float32)
     for i, t in enumerate(raw):
-        b, _ = features([t])
+        b, _, _ = features([t])
         x[i] = np.bincount(b, minlength=BUCKETS) / max(1, len(b))
     order = rng.permutation(len(raw))
     held, train = order[: len(raw) // 5], order[len(raw) // 5 :]
@@ -107,7 +102,8 @@ def fit(texts: list[str], langs: list[str], dim: int = 16, epochs: int = 30, rat
         rng.shuffle(train)
     counts = np.full((BUCKETS, len(languages)), 0.5)
     for i in train:
-        b = features([raw[i]])[0][plain([raw[i]])]
+        b, _, ok = features([raw[i]])
+        b = b[ok]
         counts[:, y[i]] += np.bincount(b, minlength=BUCKETS) * (min(len(b), 2000) / max(1, len(b)))  # no long text outweighs the others
     known = np.log(BUCKETS * counts / counts.sum(axis=0))
     typical = ((counts - 0.5) * known).sum(axis=0) / np.maximum((counts - 0.5).sum(axis=0), 1)
@@ -129,24 +125,33 @@ def fit(texts: list[str], langs: list[str], dim: int = 16, epochs: int = 30, rat
 def train(docs: DataFrame, max_rows: int = 4000, max_chars: int = 20_000_000) -> Model:
     """Fits on at most max_rows labelled rows, those of the lowest hash among doc_ids with crc32(doc_id) mod 3 <> 1.
 
-    Whole texts are used; the driver holds max_rows rows, and of these only up to max_chars characters in hash order.
+    Whole texts are used; the driver holds max_rows rows, and of these only up to max_chars characters in hash order (one text at least).
+    The rows are chosen by hash and length before any text moves: hashes under a share of their range that holds some
+    1.5 times max_rows of the counted rows. Null texts, labels and ids take no part; without rows the model knows no language.
     """
     usable = docs.where("text is not null and lang is not null and doc_id is not null and pmod(crc32(cast(doc_id as string)), 3) <> 1")
-    rows = usable.select("text", "lang", F.md5(F.concat(F.lit("fit:"), F.col("doc_id").cast("string"))).alias("h")).orderBy("h", "text").limit(max_rows)
-    texts, langs, n = [], [], 0
-    for r in rows.toLocalIterator():
-        n += len(r["text"])
-        if n > max_chars and texts:
+    hashed = usable.select("text", "lang", F.xxhash64(F.lit("fit"), F.col("doc_id").cast("string"), "text").alias("h"))
+    n = usable.select("lang").count()
+    reach = min(2**63 - 1, 2**64 * (3 * max_rows // 2 + 1000) // max(1, n) - 2**63)
+    sizes = hashed.where(F.col("h") <= reach).select("h", F.length("text").alias("n")).orderBy("h", "n").limit(max_rows).collect()
+    total, last = 0, None
+    for r in sizes:
+        total += r["n"]
+        if total > max_chars and last is not None:
             break
-        texts.append(r["text"])
-        langs.append(r["lang"])
-    return fit(texts, langs)
+        last = r["h"]
+    if last is None:
+        return fit([], [])
+    rows = hashed.where(F.col("h") <= last).select("h", "text", "lang").limit(max_rows).collect()
+    rows.sort(key=lambda r: (r["h"], r["text"], r["lang"]))
+    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs' columns with lang_pred, score (calibrated probability) and rejected (too unlike the training texts, or no letter).
 
-    Null texts and texts without a letter: `und`, score 0, rejected. Only text is read for the prediction; the model is a few hundred KB.
+    Null texts and texts without a letter: `und`, score 0, rejected. A text's result doesn't depend on its neighbours; repeated rows come
+    out alike; an empty table gives no rows. Only text is read for the prediction; the model is a few hundred KB.
     Columns of these three names in docs are replaced. No shuffle.
     """
     docs = docs.drop("lang_pred", "score", "rejected")
