@@ -3,29 +3,43 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import arrow_batch, ids_texts
 
-WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 # The base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Notices searched with edits: one edit for each 10 characters.
+#: Notices searched with edits, one for each 10 characters. Words in brackets tell a licence from its likes and take no edit.
 NOTICES = {
-    "under the mit license": "mit",
-    "apache license version 2": "apache-2",
-    "gnu general public license": "gpl",
-    "mozilla public license": "mpl",
+    "under the [mit] license": "mit",
+    "under the [bsd] license": "bsd",
+    "under the [isc] license": "isc",
+    "under the [gpl] license": "gpl",
+    "under the [mpl] license": "mpl",
+    "under the [apache] license": "apache",
+    "[apache] license version [2]": "apache-2",
+    "[gnu general] public license": "gpl",
+    "[gnu lesser] general public license": "lgpl",
+    "[gnu affero] general public license": "agpl",
+    "[mozilla] public license": "mpl",
+    "[eclipse] public license": "epl",
+    "[boost] software license": "bsl",
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
     "redistribution and use in source and binary forms": "bsd",
-    "creative commons attribution noncommercial": "cc-by-nc",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "creative commons attribution [noncommercial]": "cc-by-nc",
+    "creative commons attribution [sharealike]": "cc-by-sa",
 }
 
 
@@ -36,13 +50,21 @@ def pieces(notice: str, edits: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def pattern(notice: str, edits: int) -> regex.Pattern:
+    """Best match of the notice between word bounds: edits in the parts outside brackets only; their sum is checked on the match."""
+    parts = re.split(r"[\[\]]", notice)
+    body = "".join(regex.escape(p) if i % 2 else f"(?:{regex.escape(p)}){{e<={edits}}}" if p else "" for i, p in enumerate(parts))
+    return regex.compile(f"(?b)(?<![^ ])(?:{body})(?![^ ])")
+
+
 @lru_cache(4)
 def _searcher(notices: tuple[tuple[str, str], ...], per_edit: int):
     seeds, rules = {}, []
     for i, (notice, label) in enumerate(notices):
-        edits = len(notice) // per_edit
-        rules.append((regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={edits}}}"), edits, len(notice), label))
-        for at, piece in pieces(notice, edits):
+        plain = re.sub(r"[\[\]]", "", notice)
+        edits = len(plain) // per_edit
+        rules.append((pattern(notice, edits), edits, len(plain), label))
+        for at, piece in pieces(plain, edits):
             seeds.setdefault(piece, []).append((i, at))
     machine = ahocorasick.Automaton()
     for piece, where in seeds.items():
@@ -71,42 +93,64 @@ def fuzzy(text: str, notices: tuple[tuple[str, str], ...], per_edit: int = 10) -
                 have.append([a, b])
     out = []
     for i, have in stretches.items():
-        pattern, _, _, label = rules[i]
+        rule, edits, _, label = rules[i]
         for a, b in have:
             gaps = [(a, b)]  # the best match of a stretch comes first, so both sides of it are searched again
             while gaps:
                 a, b = gaps.pop()
-                m = pattern.search(text, a, b) if a < b else None
+                m = rule.search(text, a, b) if a < b else None
                 if m and m.end() > m.start():
-                    out.append((m.start(), m.end(), sum(m.fuzzy_counts), label))
-                    gaps += [(a, m.start()), (m.end(), b)]
+                    if sum(m.fuzzy_counts) <= edits and (m.end() == len(text) or text[m.end()] == " ") and (m.start() == 0 or text[m.start() - 1] == " "):
+                        out.append((m.start(), m.end(), sum(m.fuzzy_counts), label))
+                        gaps += [(a, m.start()), (m.end(), b)]
+                    else:
+                        gaps.append((m.start() + 1, b))
+                        gaps.append((a, m.end() - 1))
     return sorted(set(out))
 
 
 def scan(docs: DataFrame, notices: dict[str, str] | None = None, per_edit: int = 10) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans of every document.
 
-    spans: (start, end, edits, label) of the fuzzy finds, in characters of the text's words joined by a space. score: 1 with a base phrase, else
-    1 - edits / length of the best find, else 0. Null or empty text: no words, no labels, score 0. Rows of equal doc_id each get a row;
-    doc_id may be null. Texts are whole; no shuffle.
+    spans: (start, end, edits, label) of the fuzzy finds, in characters of the text. Finds lie between word bounds; words of a notice
+    in brackets stand unchanged. score: 1 with a base phrase, else 1 - edits / length of the best find, else 0. Null or empty text: no
+    words, no labels, score 0. Rows of equal doc_id and repeated rows each get a row; doc_id may be null; an empty table gives no
+    rows; extra columns are not read. Texts are whole; no shuffle.
     """
     listed = tuple((notices or NOTICES).items())
     phrases = [(regex.compile(f"(?<![^ ]){p}(?![^ ])"), label) for p, label in BASE.items()]
-    schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<start: int, end: int, edits: int, label: string>>"
+    span = [("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32()), ("label", pa.string())]
+    longs = [(c, pa.int64()) for c in ("doc_id", "n_words", "n_base", "first_word", "last_word")]
+    out = pa.schema([*longs, ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct(span)))])
 
     def run(frames):
-        for pdf in batches(frames):
+        for doc_ids, texts in ids_texts(frames):
             rows = []
-            for doc_id, t in zip(pdf["doc_id"], pdf["text"]):
-                words = WORDS.findall((t or "").translate(LOWER))
+            for doc_id, t in zip(doc_ids, texts):
+                lower = t.translate(LOWER)
+                words = WORD.findall(lower)
                 text = " ".join(words)
                 base = [(m.start(), label) for p, label in phrases for m in p.finditer(text, overlapped=True)]
                 finds = fuzzy(text, listed, per_edit)
                 at = [text.count(" ", 0, a) for a in (min(base)[0], max(base)[0])] if base else [None, None]
                 exact = {x for _, x in base}
                 score = 1.0 if base else max((1 - e / max(1, b - a) for a, b, e, _ in finds), default=0.0)
-                rows.append((doc_id, len(words), len(base), *at, ",".join(sorted(exact)), ",".join(sorted(exact | {f[3] for f in finds})), score, [dict(zip(("start", "end", "edits", "label"), f)) for f in finds]))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
-            yield out.astype({c: "Int64" for c in ("doc_id", "first_word", "last_word")})
+                rows.append((doc_id, len(words), len(base), *at, ",".join(sorted(exact)), ",".join(sorted(exact | {f[3] for f in finds})), score, in_text(lower, words, finds)))
+            yield arrow_batch(out, *zip(*rows))
+
+    schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<start: int, end: int, edits: int, label: string>>"
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+
+
+def in_text(text: str, words: list[str], finds: list[tuple]) -> list[dict]:
+    """Finds in the words joined by a space, with their places in the text itself."""
+    if not finds:
+        return []
+    starts = [m.start() for m in WORD.finditer(text)]
+    joined = list(accumulate((len(w) + 1 for w in words), initial=0))
+
+    def place(x: int) -> int:
+        i = bisect_right(joined, x) - 1
+        return starts[i] + x - joined[i]
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
+    return [{"start": place(a), "end": place(b - 1) + 1, "edits": e, "label": label} for a, b, e, label in finds]

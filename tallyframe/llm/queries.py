@@ -22,7 +22,7 @@ def op3_quality_rules(spark, sf_dir):
 
 
 def op4_license_scan(spark, sf_dir):
-    return license_scan.scan(documents(spark, sf_dir)).drop("spans")
+    return license_scan.scan(documents(spark, sf_dir))
 
 
 def op5_substring_dedup(spark, sf_dir):

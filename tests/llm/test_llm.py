@@ -166,14 +166,49 @@ def test_quality_certifies_small_strata(spark):
 
 
 def test_license(spark):
-    texts = ["Under  the MIT License. cc-by-nc", "under the mit licence", "nothing", None, "undr the mit license apache license version 2"]
-    got = by_id(license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    texts = ["Under  the MIT License. cc-by-nc", "a; under the mit licence", "nothing", None, "undr the mit license apache license version 2", "", "x" * 200_000]
+    rows = [(i, t, 0) for i, t in enumerate(texts)] + [(BIG, texts[1], 0), (None, texts[1], 0), (None, texts[1], 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score int")
+    every = license_scan.scan(df).collect()
+    got = {r.doc_id: r for r in every}
+    assert len(every) == len(rows) and set(got) == {*range(7), BIG, None} and license_scan.scan(df.limit(0)).count() == 0
     assert (got[0].n_base, got[0].first_word, got[0].last_word, got[0].base_labels, got[0].score) == (2, 0, 4, "cc-by-nc,mit", 1.0)
-    assert (got[1].n_base, got[1].labels, got[1].spans[0].edits) == (0, "mit", 1)
+    for i in (1, BIG, None):
+        assert (got[i].n_base, got[i].labels, [tuple(s) for s in got[i].spans]) == (0, "mit", [(3, 24, 1, "mit")])
     assert (got[2].labels, got[2].score, got[3].n_words) == ("", 0.0, 0)
     assert got[4].labels == "apache-2,mit"
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("under the mpl license", {"mpl"}),
+        ("under the gpl license", {"gpl"}),
+        ("under the exit license", set()),
+        ("under the unit license", set()),
+        ("thunder the mit licensee", set()),
+        ("undr the mit licence", {"mit"}),
+        ("apache license version 1", set()),
+        ("apache licence versoin 2", set()),
+        ("apache licence verson 2", {"apache-2"}),
+        ("gnu lesser general public license", {"lgpl"}),
+        ("permission is hereby granted free of charge to any persons obtaining copy", {"mit"}),
+    ],
+)
+def test_license_near_misses(text, labels):
+    assert {f[3] for f in license_scan.fuzzy(text, tuple(license_scan.NOTICES.items()), 10)} == labels
+
+
+def test_license_base_against_brute_force(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    got = by_id(license_scan.scan(spark.createDataFrame(d, "doc_id long, text string")))
+    for r in d:
+        w = license_scan.WORD.findall((r.text or "").translate(license_scan.LOWER))
+        hits = [(i, label) for p, label in license_scan.BASE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        g = got[r.doc_id]
+        assert (g.n_words, g.n_base, g.first_word, g.last_word, g.base_labels) == (len(w), len(hits), min(hits)[0] if hits else None, max(hits)[0] if hits else None, ",".join(sorted({x for _, x in hits})))
+
+
 def test_license_keeps_fuzzy_places_before_an_exact_one():
     text = "undr the mit license undr the mit license under the mit license"
     found = [f for f in license_scan.fuzzy(text, tuple(license_scan.NOTICES.items()), 10) if f[3] == "mit"]
@@ -393,6 +428,16 @@ def test_language_rejects_the_unlearned(spark):
     assert held.where("rejected").count() <= 0.02 * held.count()
 
 
+def test_language_of_a_text_does_not_depend_on_its_neighbours(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.train(d)
+    texts = [(r.text or "").encode() for r in d.limit(40).collect()] + [b"", b"a", b"und", "ça".encode()]
+    p, familiar = model.judged(texts)
+    for i, t in enumerate(texts):
+        one, f = model.judged([t])
+        assert np.allclose(one[0], p[i]) and np.isclose(f[0], familiar[i])
+
+
 def test_language_edges(docs):
     got = langid.identify(docs, langid.fit([], []))
     assert got.where("doc_id in (4, 5, 6)").where("lang_pred = 'und' and rejected").count() == 3
