@@ -31,17 +31,19 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     return x.select("source", "source_size", F.least(F.col("full").cast("double"), reach).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, seed: str = "mix", digits: int = 3) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words that the mix takes) for every document.
-
-    A document's random key is md5(seed:doc_id). Within a source documents stand in key order, ranges of keys being its
-    first hex digits. Sums of (source, range) are prefix-summed over at most 16^digits rows a source, then each range's documents within it: no
-    task holds a whole source. Whole epochs take every document; the rest of the budget is cut at the exact word.
-    Null text: size 0. Null source: a source of its own. Rows with equal doc_id are ordered by size, so reruns agree.
-    An empty table gives no rows. Other columns are not read.
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, seed: str = "mix", digits: int = 3, row: F.Column | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (words that the mix takes) for every document, and `row` if one is given.
+
+    A document's random key is md5(seed:doc_id), without an id md5(seed:null:md5 of the text). Within a source documents stand in
+    key order, ranges of keys being its first hex digits. Sums of (source, range) are prefix-summed over at most 16^digits rows a
+    source, then each range's documents within it: no task holds a whole source. Whole epochs take every document; the rest of the
+    budget is cut at the exact word. Null text: size 0. Null source: a source of its own. Rows with equal doc_id are ordered by
+    size, then by the text's hash, so reruns agree; rows of one doc_id stand in one range. An empty table gives no rows. Other
+    columns are not read.
     """
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(text)))))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), F.xxhash64("text").alias("text_hash"), *([row.alias("row")] if row is not None else []))
     sized = stored(sized.withColumn("range", F.substring("key", 1, digits)))
     sums = sized.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -52,7 +54,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     sums = sums.withColumnsRenamed({"source": "s", "range": "r"})
     x = sized.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))).drop("s", "r")
     x = x.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("range_start") + F.coalesce(F.sum("size").over(within), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - start))
-    return x.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
+    return x.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), *(["row"] if row is not None else []))

@@ -57,7 +57,7 @@ QUERIES = {f.__name__: f for f in (op1_token_output, op2_mix_sources, op3_qualit
 W = r"'[^\x20\x09-\x0D]+'"
 ORACLES = {
     "op2_mix_sources": f"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {W}))::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS k FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {W}))::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM d GROUP BY source),
 w AS (SELECT *, CASE (i - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, 2 * source_size AS cap FROM s),
 r AS (SELECT *, row_number() OVER (ORDER BY cap::DOUBLE / w, source NULLS LAST) AS n FROM w),

@@ -444,6 +444,107 @@ def test_language_edges(docs):
     assert got.count() == docs.count()
 
 
-def test_pipeline_stages_keep_columns(spark, docs):
-    for name, stage in corpus_pipeline.STAGES[1:4]:
+def plain_targets(sizes, weights=(5, 2, 1), share=1.5, cap=2):
+    """Targets by resharing what is above the caps until none is."""
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    w = {s: weights[i % 3] for i, s in enumerate(names)}
+    total, full = share * sum(sizes.values()), {}
+    while True:
+        free = [s for s in names if s not in full]
+        left = total - sum(full.values())
+        target = {s: left * w[s] / sum(w[x] for x in free) for s in free}
+        above = {s: cap * sizes[s] for s in free if target[s] > cap * sizes[s]}
+        if not above:
+            return {**full, **target}
+        full |= above
+
+
+def test_targets_against_resharing(spark):
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 5, 9):
+        sizes = {f"s{i}": int(x) for i, x in enumerate(rng.integers(0, 1000, n))} | {None: int(rng.integers(1, 300))}
+        df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        got = {r.source: r.target for r in mixing.targets(df).collect()}
+        assert got.keys() == sizes.keys() and all(abs(got[s] - x) < 1e-6 for s, x in plain_targets(sizes).items())
+
+
+def plain_pipeline(spark, rows):
+    """run()'s rows by plain means: the same classifier, then brute force and the tiktoken library."""
+    import tiktoken
+
+    d = spark.createDataFrame(rows, COLS)
+    model = langid.train(d)
+    kept = [r for r in rows if r[1] is not None and langid.LETTER.search(r[1]) and model.judged([r[1].encode()])[1][0] >= model.reject]
+    big = 1 << 63
+    number = lambda r: big if r[0] is None else r[0]
+    kept = list(dict.fromkeys(kept))
+    sets = []
+    for r in kept:
+        w = WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r[1]))
+        sets.append({tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    root = list(range(len(kept)))
+    for _ in kept:
+        for a, b in combinations(range(len(kept)), 2):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                root[a] = root[b] = min(root[a], root[b])
+    groups = {}
+    for i, r in enumerate(root):
+        groups.setdefault(r, []).append(i)
+    kept = [kept[min(g, key=lambda i: number(kept[i]))] for g in groups.values()]
+    first: dict = {}
+    for r in sorted(kept, key=number):
+        w = WORDS.findall(r[1])
+        for j in range(len(w) - 12):
+            first.setdefault(tuple(w[j : j + 13]), number(r))
+    cut = []
+    for r in kept:
+        w = WORDS.findall(r[1])
+        gone = {j + k for j in range(len(w) - 12) if first[tuple(w[j : j + 13])] < number(r) for k in range(13)}
+        text = " ".join(x for j, x in enumerate(w) if j not in gone) if gone else r[1]
+        if WORDS.search(text):
+            cut.append((r[0], text, r[3]))
+    sizes = Counter()
+    for i, text, source in cut:
+        sizes[source] += len(WORDS.findall(text))
+    target, out = plain_targets(sizes), []
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN).ranks, special_tokens={})
+    for source in sizes:
+        left = math.floor(target[source])
+        mine = sorted((hashlib.md5(f"mix:{i}".encode()).hexdigest(), i, text) for i, text, s in cut if s == source)
+        while left > 0:
+            for _, i, text in mine:
+                w = WORDS.findall(text)
+                if left > 0:
+                    text = text if left >= len(w) else " ".join(w[:left])
+                    ids = enc.encode_ordinary(text)
+                    out.append((i, len(ids), tuple(ids), hashlib.sha256(text.encode()).hexdigest()))
+                left -= len(w)
+    return Counter(out)
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(90).collect()
+    rng = np.random.default_rng(12)
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, None) for r in d]
+    texts = sorted((r.text for r in d if r.text and len(r.text) > 600), key=len)[:12]
+    for i, t in enumerate(texts):  # near copies, copies of passages, rejects, nulls, repeated rows
+        w = t.split()
+        rows.append((2000 + i, " ".join([*w[: len(w) - 3], f"new{i}"]), None, None, 0, None))
+        rows.append((3000 + i, " ".join([*rng.permutation(w).tolist(), *w[5:40]]), "en", "new", 0, None))
+    rows += [(4000, None, "en", "a", 0, None), (4001, "12 34", None, "a", 0, None), (4002, "", "en", None, 0, None), (4003, "xkcdvb wrtzpl qgfhdn mbvcxk trwqpl zsdfgh " * 5, None, "a", 0, None), rows[0], rows[0]]
+    spark.createDataFrame(rows, COLS).write.parquet(str(tmp_path / "documents.parquet"))
+    got = Counter((r.doc_id, r.n_tokens, tuple(r.ids), r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == plain_pipeline(spark, rows)
+
+
+def test_pipeline_stages_on_odd_rows(spark, docs):
+    """Null and repeated ids, null texts and sources, a clashing column, an empty table."""
+    for name, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, docs, "").columns == corpus_pipeline.COLUMNS, name
+        assert stage(spark, docs.limit(0), "").count() == 0, name
+    rows = [(None, f"w{i} a b", None, None, 0, None) for i in range(5)] + [(1, "c d e", None, "s", 0, None)] * 3
+    taken = corpus_pipeline.mixture(spark, spark.createDataFrame(rows, COLS), "").collect()
+    words = Counter()
+    for r in taken:
+        words[r.source] += len(r.text.split())
+    assert words == {s: math.floor(x) for s, x in plain_targets({None: 15, "s": 9}).items()}
