@@ -14,9 +14,10 @@ from .common import NULL_ID, U64, arrow_batch, discard, gram_hash, ids_texts, jo
 
 BANDS, ROWS, WIDTH = 64, 8, 5
 BINS = BANDS * ROWS
-LONGS = [f"b{i}" for i in range(BINS // 64)]
-#: Of two sets at similarity 0.75, bits differ with a chance of 1/8 each: 64 of 512 on average, standard deviation 7.5.
-FAR_BITS = 100
+BITS = 2 * BINS
+LONGS = [f"b{i}" for i in range(BITS // 64)]
+#: Two sets at similarity 0.75 differ in an eighth of the bits on average, 128 of 1024, standard deviation 12.6; beyond this, a pair is left out.
+FAR_BITS = 166
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
@@ -67,9 +68,10 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band hashes of the signature, and one bit for each bin, as longs: of two sets these bits agree with a chance of (1 + similarity) / 2."""
+    """Band hashes of the signature, and two bits for each bin, as longs: of two sets these bits agree with a chance of (1 + similarity) / 2."""
     sig = signature(shingles)
-    bits = np.packbits((mix(sig + PLACE) >> U64(63)).astype(np.uint8)).view(np.int64)
+    two = mix(sig + PLACE)
+    bits = np.packbits(np.concatenate([two >> U64(63), two >> U64(62) & U64(1)]).astype(np.uint8)).view(np.int64)
     rows = sig.reshape(BANDS, ROWS)
     key = rows[:, 0]
     for r in range(1, ROWS):
@@ -86,40 +88,49 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return x.where("100 * i >= 75 * (n - i)").select(*pairs.columns)
 
 
-def links(keys: DataFrame, sets: DataFrame, max_centres: int = 64) -> DataFrame:
-    """Confirmed links (a, b) that connect what the buckets connect; keys: k (bucket), s (set), n (its size) and its bits.
+def links(keys: DataFrame, sets: DataFrame, steps: tuple[int, ...] = (1, 8, 64)) -> DataFrame:
+    """Confirmed links (a, b) that connect what the buckets connect; keys: k (bucket), ks (all buckets of the set that others share),
+    s (set), n (its size) and its bits.
 
     Each round emits stars: some members of each bucket, the centres, against its members of other components (c, by the links
-    confirmed so far). Pairs whose bits are too far apart for similarity 0.75 are left out within that join, so a pair costs a
-    few instructions and only likely links are emitted. A centre then leaves the bucket, as all its pairs there are compared or
-    within one component, and the bucket ends when its members are of one component. The first centre of all buckets follows
-    one order, so that buckets of one group share it; later ones are of the components that have the fewest members in the bucket, twice
-    as many each round, up to max_centres. Every round takes a centre out of each bucket, so the rounds end without a limit.
+    confirmed so far). Pairs whose bits are too far apart for similarity 0.75 are left out within that join, and so are pairs
+    that share a lower bucket, where they are compared; so a pair costs a few instructions and only likely links are emitted, once. A centre isn't one again, as all its pairs there are compared or
+    within one component, and the bucket ends when its members are of one component or all were centres. The first centre of all
+    buckets follows one order, so that buckets of one group share it; later ones are of the components that have the fewest
+    members in the bucket, one of each, in numbers of `steps` (the last again and again). Every round takes a centre out of
+    each bucket that goes on, so the rounds end without a limit.
     """
-    open_rows, found, centres = stored(keys.withColumn("c", F.col("s"))), [], 1
-    member = F.struct(F.xxhash64("s").alias("order"), "s", "n", *LONGS)
+    open_rows, found, round_ = stored(keys.withColumn("c", F.col("s")).withColumn("free", F.lit(True))), [], 0
+    member = F.struct(F.xxhash64("s").alias("order"), "s", "n", "ks", *LONGS)
     far = reduce(lambda x, y: x + y, [F.bit_count(F.col(b).bitwiseXOR(F.col(f"z{b}"))) for b in LONGS])
     while True:
-        of_component = open_rows.groupBy("k", "c").agg(F.count("*").alias("share"), F.min(member).alias("m"))
-        few = Window.partitionBy("k").orderBy("share" if found else F.lit(0), "m.order", "c")
-        lead = of_component.withColumn("r", F.row_number().over(few)).where(F.col("r") <= centres)
-        lead = stored(lead.select("k", F.col("m.s").alias("z"), F.col("m.n").alias("zn"), F.col("c").alias("zc"), *[F.col(f"m.{b}").alias(f"z{b}") for b in LONGS]))
-        star = open_rows.join(lead, "k").where("c <> zc and 100 * least(n, zn) >= 75 * greatest(n, zn)").where(far <= FAR_BITS)
+        of_component = open_rows.groupBy("k", "c").agg(F.count("*").alias("share"), F.min(F.when(F.col("free"), member)).alias("m")).where("m is not null")
+        bucket = Window.partitionBy("k")
+        of_component = of_component.withColumn("several", F.min("c").over(bucket) < F.max("c").over(bucket)).where("several")  # with a member to go
+        few = bucket.orderBy("share" if round_ else F.lit(0), "m.order", "c")
+        lead = of_component.withColumn("r", F.row_number().over(few)).where(F.col("r") <= steps[min(round_, len(steps) - 1)])
+        lead = stored(lead.select("k", F.col("m.s").alias("z"), F.col("m.n").alias("zn"), F.col("m.ks").alias("zks"), F.col("c").alias("zc"), *[F.col(f"m.{b}").alias(f"z{b}") for b in LONGS]))
+        n_lead = lead.count()
+        if not n_lead:
+            break
+        near = F.broadcast if n_lead <= 30_000 else (lambda df: df)  # some 200 to 600 bytes a row
+        star = open_rows.join(near(lead), "k").where("c <> zc and 100 * least(n, zn) >= 75 * greatest(n, zn)").where(far <= FAR_BITS)
+        star = star.where(F.array_min(F.array_intersect("ks", "zks")) == F.col("k"))
         pairs = stored(star.select(F.least("s", "z").alias("a"), F.greatest("s", "z").alias("b"), F.least("c", "zc").alias("low"), F.greatest("c", "zc").alias("high")).distinct())
         good = stored(_confirmed(pairs, sets))
         found.append(good.select("a", "b"))
-        rest = open_rows.join(lead.select("k", F.col("z").alias("s")), ["k", "s"], "left_anti")
+        tried = lead.select("k", F.col("z").alias("s"), F.lit(False).alias("still"))
+        rest = open_rows.join(near(tried), ["k", "s"], "left").withColumn("free", F.coalesce("still", "free")).drop("still")
         if not good.isEmpty():
             roots = components(good.select(F.col("low").alias("a"), F.col("high").alias("b")).distinct()).withColumnRenamed("s", "c")
             rest = rest.join(small_side(roots), "c", "left").withColumn("c", F.coalesce("root", "c")).drop("root")
-        rest = stored(rest)
-        live = rest.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("k")
-        next_rows, centres = stored(rest.join(live, "k")), min(2 * centres, max_centres)
-        discard(open_rows, lead, pairs, rest)
-        open_rows = next_rows
-        if open_rows.isEmpty():
-            break
-    return stored(reduce(DataFrame.unionByName, found).distinct())
+        if round_ == 0:  # most buckets end here
+            live = rest.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("k")
+            rest = rest.join(live, "k")
+        rest, before, round_ = stored(rest), open_rows, round_ + 1
+        discard(before, lead, pairs)
+        open_rows = rest
+    return stored(reduce(DataFrame.unionByName, found).distinct()) if found else stored(keys.select(F.col("s").alias("a"), F.col("s").alias("b")).where("false"))
 
 
 def _few_components(edges: DataFrame) -> DataFrame:
@@ -186,7 +197,8 @@ def _of_rows(docs: DataFrame, row: F.Column) -> DataFrame:
     keys = reps.select(F.explode("keys").alias("k"), "s")
     shared = stored(keys.groupBy("k").agg(F.min("s").alias("x"), F.max("s").alias("y")).where("x <> y").select("k"))
     met = stored(keys.join(shared, "k"))
-    keys = met.join(reps.select("s", "n", *[F.get("bits", F.lit(i)).alias(b) for i, b in enumerate(LONGS)]), "s")
+    keys = met.groupBy("s").agg(F.collect_list("k").alias("ks")).join(reps.select("s", "n", *[F.get("bits", F.lit(i)).alias(b) for i, b in enumerate(LONGS)]), "s")
+    keys = keys.withColumn("k", F.explode("ks"))
 
     # Full sets of one document of each class that shares a bucket, from its text: sets are larger than texts.
     wanted = reps.join(met.select("s").distinct(), "s", "left_semi").select("low.d", "low.t", F.col("s").alias("want"))
@@ -199,7 +211,7 @@ def _of_rows(docs: DataFrame, row: F.Column) -> DataFrame:
             if kept:
                 yield arrow_batch(again_schema, *zip(*kept))
 
-    full = stored(texts.mapInArrow(again, "s long, sh array<long>").dropDuplicates(["s"]))
+    full = stored(texts.mapInArrow(again, "s long, sh array<long>"))
     roots = components(links(keys, full))
     discard(full, met, shared)
     of_set = stored(reps.select("s", "low").join(roots, "s", "left").select("s", "low", F.coalesce("root", "s").alias("root")))
