@@ -80,15 +80,16 @@ def sketch(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b and other columns) with 100 * intersection >= 75 * union on the full sets; only sets of some pair are moved."""
-    needed = small_side(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct())
-    sets = sets.join(needed, "s", "left_semi")
-    x = pairs.join(sets.select(F.col("s").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("s").alias("b"), F.col("sh").alias("y")), "b")
-    x = x.select(*pairs.columns, F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("n"))
-    return x.where("100 * i >= 75 * (n - i)").select(*pairs.columns)
+    """The pairs (a, b and other columns, stored) with 100 * intersection >= 75 * union on the full sets; the sets go to the pairs."""
+    near = F.broadcast if pairs.count() <= 100_000 else (lambda df: df)  # 32 bytes a row
+    x = sets.join(near(pairs), F.col("s") == F.col("a")).select(*pairs.columns, F.col("sh").alias("x"), F.lit(None).cast("array<long>").alias("y"))
+    y = sets.join(near(pairs), F.col("s") == F.col("b")).select(*pairs.columns, F.lit(None).cast("array<long>").alias("x"), F.col("sh").alias("y"))
+    both = x.unionByName(y).groupBy(*pairs.columns).agg(F.max("x").alias("x"), F.max("y").alias("y"))
+    both = both.select(*pairs.columns, F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("n"))
+    return both.where("100 * i >= 75 * (n - i)").select(*pairs.columns)
 
 
-def links(keys: DataFrame, sets: DataFrame, steps: tuple[int, ...] = (1, 8, 64)) -> DataFrame:
+def links(keys: DataFrame, sets: DataFrame, steps: tuple[int, ...] = (1, 16, 256)) -> DataFrame:
     """Confirmed links (a, b) that connect what the buckets connect; keys: k (bucket), ks (all buckets of the set that others share),
     s (set), n (its size) and its bits.
 
@@ -116,13 +117,13 @@ def links(keys: DataFrame, sets: DataFrame, steps: tuple[int, ...] = (1, 8, 64))
         near = F.broadcast if n_lead <= 30_000 else (lambda df: df)  # some 200 to 600 bytes a row
         star = open_rows.join(near(lead), "k").where("c <> zc and 100 * least(n, zn) >= 75 * greatest(n, zn)").where(far <= FAR_BITS)
         star = star.where(F.array_min(F.array_intersect("ks", "zks")) == F.col("k"))
-        pairs = stored(star.select(F.least("s", "z").alias("a"), F.greatest("s", "z").alias("b"), F.least("c", "zc").alias("low"), F.greatest("c", "zc").alias("high")).distinct())
+        pairs = stored(star.select(F.least("s", "z").alias("a"), F.greatest("s", "z").alias("b"), F.least("c", "zc").alias("low"), F.greatest("c", "zc").alias("high")))
         good = stored(_confirmed(pairs, sets))
         found.append(good.select("a", "b"))
         tried = lead.select("k", F.col("z").alias("s"), F.lit(False).alias("still"))
         rest = open_rows.join(near(tried), ["k", "s"], "left").withColumn("free", F.coalesce("still", "free")).drop("still")
         if not good.isEmpty():
-            roots = components(good.select(F.col("low").alias("a"), F.col("high").alias("b")).distinct()).withColumnRenamed("s", "c")
+            roots = components(good.select(F.col("low").alias("a"), F.col("high").alias("b"))).withColumnRenamed("s", "c")
             rest = rest.join(small_side(roots), "c", "left").withColumn("c", F.coalesce("root", "c")).drop("root")
         if round_ == 0:  # most buckets end here
             live = rest.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("k")
