@@ -22,7 +22,8 @@ def in_window(as_of: int, width: int, buckets: int) -> Column:
 
 
 def valid(name) -> Column:
-    return F.col(name).rlike(f"^[{ALLOWED}]+$")
+    """Whether a name holds no other character (an empty one doesn't)."""
+    return ~F.col(name).rlike(f"[^{ALLOWED}]")
 
 
 def sanitised(name) -> Column:

@@ -81,5 +81,5 @@ def buffer(events: DataFrame, as_of: int, expiry, rows: int = BUFFER_ROWS) -> Da
 
 def bottom_k(events: DataFrame, k: int, *keys: str) -> DataFrame:
     """A uniform sample of k values of each group: those of the lowest hash. A sampling operator; samples merge without loss."""
-    order = Window.partitionBy(*keys).orderBy(F.xxhash64("event_id"), "event_id")
+    order = Window.partitionBy(*keys).orderBy(F.md5(F.col("event_id").cast("string")), "event_id")
     return events.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select(*keys, "event_id", "value")

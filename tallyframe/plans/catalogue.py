@@ -122,10 +122,12 @@ def blacklist(e, spark, sf_dir):
     return e.where(~F.col("name").rlike("^(?:err|vi)")).select("name").distinct()
 
 
-@query("SELECT name, client, regexp_full_match(name || ' ' || client, '[A-Za-z0-9._~:/?@!$()*+;=-]+') AS valid, regexp_replace(name || ' ' || client, '[^A-Za-z0-9._~:/?@!$()*+;=-]', '_', 'g') AS clean FROM e GROUP BY name, client")
+@query("""SELECT client, s AS spoilt, NOT regexp_matches(s, '[^A-Za-z0-9._~:/?@!$()*+;=-]') AS valid, regexp_replace(s, '[^A-Za-z0-9._~:/?@!$()*+;=-]', '_', 'g') AS clean
+FROM (SELECT DISTINCT client, CASE k % 3 WHEN 0 THEN client WHEN 1 THEN client || '&' || name ELSE client || chr(10) END AS s FROM e)""")
 def valid_names(e, spark, sf_dir):
-    x = e.select("name", "client").distinct().withColumn("both", F.concat_ws(" ", "name", "client"))
-    return x.select("name", "client", valid("both").alias("valid"), sanitised("both").alias("clean"))
+    spoilt = F.when(F.col("k") % 3 == 0, F.col("client")).when(F.col("k") % 3 == 1, F.concat("client", F.lit("&"), "name")).otherwise(F.concat("client", F.lit("\n")))
+    x = e.select("client", spoilt.alias("spoilt")).distinct()
+    return x.select("client", "spoilt", valid("spoilt").alias("valid"), sanitised("spoilt").alias("clean"))
 
 
 @query("SELECT DISTINCT name FROM e")
@@ -148,9 +150,9 @@ def prune_candidates(e, spark, sf_dir):
     return e.groupBy("name", "client").agg(F.max("us").alias("last_us")).where(F.col("last_us") < latest(e) - 7 * DAY)
 
 
-@query("SELECT client, arg_min(name, us) AS first_type FROM e GROUP BY client")
+@query("SELECT client, arg_min(name, (us, event_id)) AS first_type FROM e GROUP BY client")
 def first_type_wins(e, spark, sf_dir):
-    return e.groupBy("client").agg(F.min_by("name", "us").alias("first_type"))
+    return e.groupBy("client").agg(F.min_by("name", F.struct("us", "event_id")).alias("first_type"))
 
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY name, client ORDER BY us RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS trailing FROM e")
@@ -175,6 +177,6 @@ def stream_buckets(e, spark, sf_dir):
     return spark.table(table)
 
 
-@query()
+@query("SELECT name, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY md5(event_id::VARCHAR), event_id) AS r FROM e) WHERE r <= 200")
 def bottom_k_sample(e, spark, sf_dir):
     return A.bottom_k(e, 200, "name")

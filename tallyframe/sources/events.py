@@ -20,6 +20,21 @@ def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The type that each event name of the table stands for in the queries.
+TYPED = {"click": "CounterGroup", "view": "TotalsCounter", "purchase": "PercentileGroup", "error": "Gauge", "signup": "Buffer"}
+
+
+def typed(events: DataFrame, conflicts: bool = True) -> DataFrame:
+    """Events with tab_type, text and expiry. With conflicts, every 97th event but a name's first disagrees on the type."""
+    of_name = F.lit(None).cast("string")
+    for name, tab_type in TYPED.items():
+        of_name = F.when(F.col("name") == name, tab_type).otherwise(of_name)
+    if conflicts:
+        of_name = F.when((F.col("event_id") % 97 == 0) & (F.col("event_id") > 96), "PercentileCounter").otherwise(of_name)
+    text = F.round("value").cast("long").cast("string")
+    return events.withColumns({"tab_type": of_name, "text": text, "expiry": F.col("us") + F.col("k") * 86_400_000_000})
+
+
 def latest(events: DataFrame) -> int:
     """The default as_of: the largest timestamp, in microseconds (one row reaches the driver)."""
     return events.agg(F.max("us")).first()[0] or 0
