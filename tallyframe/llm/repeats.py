@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, U64, arrow_batch, combine, gram_hash, joined, shared_dir, slices, stored, word_hashes, words_of
 
-BLOCK_ROWS, BUCKET_BYTES, LONGEST_RUN, OFTEN = 8192, 16 << 20, 4096, 512
+BLOCK_ROWS, BUCKET_BYTES, LONGEST_RUN, OFTEN = 4096, 16 << 20, 4096, 512
 ANSWER = "f long, kind int, payload binary"
 ANSWERS = pa.schema([("f", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
 SENT = "bucket int, f long, payload binary"
@@ -184,8 +184,8 @@ class Plan:
         return text, start
 
     def contents(self, path: str, shared, often, twice):
-        """By bucket the distinct contents of a block, each with its anchor and its earliest place; and of each slice its rows,
-        runs and (text, lo, hi, bucket, content number, place) of each stretch. A place is (doc_id, text hash, start), if not within
+        """By bucket the distinct contents of a block, each with its anchor and its earliest place; and of each slice its rows and
+        (text, lo, hi, bucket, content number, place) of each stretch. A place is (doc_id, text hash, start), if not within
         documents doc_id alone."""
         seen: dict[bytes, tuple[int, int]] = {}
         lists = defaultdict(list)
@@ -204,7 +204,7 @@ class Plan:
                 elif place < lists[k][at[1]][2]:
                     lists[k][at[1]][2] = place
                 rows.append((i, a, b, *at, place))
-            found.append(rows)
+            found.append((rb, rows))
         return lists, found
 
 
@@ -330,7 +330,7 @@ def cut_repeats(docs: DataFrame, carried: list[str], kind: str, size: int, gram:
     def finish(f, path, answers):
         bits = dict(map(unpacked, answers[9]))
         lists, found = plan.contents(path, *known(answers))
-        for (rb, _), rows in zip(plan.read(path), found):
+        for rb, rows in found:
             gone = defaultdict(list)
             for i, a, b, k, number, place in rows:
                 if place > lists[k][number][2]:  # an earlier copy stands in this block

@@ -90,26 +90,32 @@ class Automaton:
 
 
 def earliest_documents(contents: list, size: int):
-    """Kernel of repeats: an automaton for each shard of some SHARD_WORDS words (an anchor is never divided), past which its passages stream."""
+    """Kernel of repeats: an automaton for each shard of some SHARD_WORDS words (an anchor is never divided), past which its passages stream.
+
+    A content that is the only one of its anchor has nothing to be matched with: its windows stand in its own documents alone.
+    """
     shard, held = [], 0
     for i, x in enumerate(contents):
         words = x[1].split()
-        if held > SHARD_WORDS and shard and x[0] != contents[i - 1][0]:
+        starts = not i or x[0] != contents[i - 1][0]
+        if held > SHARD_WORDS and starts:
             yield from _of_shard(shard, size)
             shard, held = [], 0
-        shard.append((words, x[2]))
-        held += len(words)
-    if shard:
-        yield from _of_shard(shard, size)
+        alone = starts and (i + 1 == len(contents) or contents[i + 1][0] != x[0])
+        shard.append((words, x[2], alone))
+        held += 0 if alone else len(words)
+    yield from _of_shard(shard, size)
 
 
 def _of_shard(shard: list, size: int):
-    automaton = Automaton()
-    for words, document in shard:
-        automaton.add(words, document)
+    automaton, number = Automaton(), {}
+    rows = [(None if alone else [number.setdefault(w, len(number)) for w in words], len(words), document) for words, document, alone in shard]
+    for words, _, document in rows:
+        if words is not None:
+            automaton.add(words, document)
     automaton.close()
-    for words, _ in shard:
-        yield np.array(list(automaton.statistics(words, size)), np.int64)
+    for words, n, document in rows:
+        yield np.full(n - size + 1, document) if words is None else np.array(list(automaton.statistics(words, size)), np.int64)
 
 
 def _kept(text: str, spans: np.ndarray) -> tuple[list[str], int]:
