@@ -155,8 +155,10 @@ class StateStore:
         at = self._current().get(name)
         return self.spark.read.schema(self.TABLES[name]).parquet(f"{self.folder}/{at}") if at else self.spark.createDataFrame([], self.TABLES[name])
 
-    def _commit(self, **tables: DataFrame) -> None:
+    def _commit(self, batch: int | None = None, **tables: DataFrame) -> None:
         now = self._current()
+        if batch is not None:
+            now["batch"] = str(batch)
         for name, df in tables.items():
             now[name] = f"{name}-{uuid.uuid4().hex}"
             df.write.parquet(f"{self.folder}/{now[name]}")
@@ -168,14 +170,18 @@ class StateStore:
         if not store.createNewFile(self._path(mark)):
             raise RuntimeError("another change came first; run this one again")
 
-    def upsert(self, events: DataFrame, blacklist: list[str] | None = None) -> None:
-        """Merges new events into the states; names keep the type they have, new names and clients get ids."""
+    def last_batch(self) -> int:
+        """The number of the last micro-batch merged, -1 without any."""
+        return int(self._current().get("batch", -1))
+
+    def upsert(self, events: DataFrame, blacklist: list[str] | None = None, batch: int | None = None) -> None:
+        """Merges new events into the states; names keep the type they have, new names and clients get ids. batch: a number to keep with it."""
         known = self.table("types")
         x = events.where(self.registry.known())
         types = known.unionByName(types_of(x).join(known.select("name"), "name", "left_anti"))
         new = admitted(events, self.registry, blacklist, types)
         cells = self.registry.only(present(new)).fold(new)
-        self._commit(states=merged(self.table("states").unionByName(cells), "name", "client"), types=types, ids=self._with_ids(events.select("name", "client")))
+        self._commit(states=merged(self.table("states").unionByName(cells), "name", "client"), types=types, ids=self._with_ids(new.select("name", "client")), batch=batch)
 
     def _with_ids(self, new: DataFrame) -> DataFrame:
         """The dictionaries with ids for new names and clients: above all earlier ones, in order of the values' hash ranges, with gaps."""

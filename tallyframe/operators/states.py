@@ -347,6 +347,8 @@ class Registry:
 
     def fold(self, events: DataFrame) -> DataFrame:
         """Cells at (name, client) of all events of known types: events become cells in one pass."""
+        if not self.handlers:
+            return events.sparkSession.createDataFrame([], CELL)
         of_type = F.lit(None)
         for tab_type, h in self.handlers.items():
             made = F.array(*[c.withField("version", F.lit(h.version)) for c in h.cells()])

@@ -6,10 +6,10 @@ import pytest
 
 from tallyframe.functions.windows import bounds
 from tallyframe.operators import aggregates as A
-from tallyframe.plans import api, catalogue
+from tallyframe.plans import api, catalogue, monitoring
 from tallyframe.sources.wire import decode_body, encode_body, encode_clients, read_bodies
 
-QUERIES, ORACLES = catalogue.QUERIES | api.QUERIES, catalogue.ORACLES | api.ORACLES
+QUERIES, ORACLES = catalogue.QUERIES | api.QUERIES | monitoring.QUERIES, catalogue.ORACLES | api.ORACLES | monitoring.ORACLES
 DIR = "/root/testdata/sf0.001"
 
 
