@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, U64, arrow_batch, combine, gram_hash, joined, shared_dir, slices, stored, word_hashes, words_of
 
-BLOCK_ROWS, BUCKET_BYTES, LONGEST_RUN, OFTEN = 4096, 16 << 20, 4096, 512
+BLOCK_ROWS, BUCKET_BYTES, LONGEST_RUN, OFTEN = 4096, 8 << 20, 4096, 512
 ANSWER = "f long, kind int, payload binary"
 ANSWERS = pa.schema([("f", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
 SENT = "bucket int, f long, payload binary"
@@ -72,9 +72,9 @@ class Runs:
         if kind == "bytes":
             padded = np.zeros(len(self.data) + 16, np.uint8)
             padded[: len(self.data)] = self.data
-            block = np.ndarray((len(self.data) + 1,), "<u8", padded.data, strides=(1,))
+            self.block = np.ndarray((len(self.data) + 1,), "<u8", padded.data, strides=(1,))  # the 8 bytes from each place on
             n = max(0, len(self.data) - 15)
-            grams = combine(block[:n], np.ndarray((n,), "<u8", padded.data, 8, strides=(1,))) if gram == 16 else gram_hash(self.data.astype(U64), gram)
+            grams = combine(self.block[:n], self.block[8 : 8 + n]) if gram == 16 else gram_hash(self.data.astype(U64), gram)
             self.at, self.symbols = self.offset, None
             ends = self.at[1:] - 1
         else:
@@ -89,8 +89,10 @@ class Runs:
             grams = np.minimum(grams[:-step], grams[step:])
             span += step
         n = len(grams)
-        end_of = np.repeat(ends, np.diff(self.at))[:n]
-        whole = np.flatnonzero(np.arange(n) + size <= end_of)
+        inside = np.ones(n, bool)
+        for a, e in zip(self.at.tolist(), ends.tolist()):
+            inside[max(a, e - size + 1) : e + 1 if kind == "bytes" else e] = False
+        whole = np.flatnonzero(inside)
         low = grams[whole]
         new = np.ones(len(whole), bool)
         new[1:] = (low[1:] != low[:-1]) | (whole[1:] != whole[:-1] + 1)
@@ -109,9 +111,16 @@ class Runs:
             return self.data[a:b].tobytes()
         return b" ".join(self.data[self.starts[a] : self.ends[b - 1]].tobytes().split())
 
-    def windows(self) -> np.ndarray:
-        """Hash of the window at each symbol of all texts."""
-        return gram_hash(self.data.astype(U64) if self.kind == "bytes" else self.symbols, self.size)
+    def windows(self, start: np.ndarray) -> np.ndarray:
+        """Hashes of the windows that start at some symbols of all texts."""
+        if self.kind == "bytes":
+            values, steps = self.block, [*range(0, self.size - 7, 8), self.size - 8]
+        else:
+            values, steps = self.symbols, range(self.size)
+        h = np.full(len(start), self.size, U64)
+        for k in steps:
+            h = combine(h, values[start + k])
+        return h
 
 
 class Plan:
@@ -164,7 +173,7 @@ class Plan:
         out = [(runs.text[take], runs.lo[take], runs.hi[take], runs.anchor[take])]
         if twice is not None and common.any():
             text, start = self.single(runs, common)
-            hit = _among(runs.windows()[start], twice)
+            hit = _among(runs.windows(start), twice)
             run = np.repeat(np.flatnonzero(common), (runs.hi - runs.lo + 1)[common])[hit]
             start, text = start[hit], text[hit]
             new = np.ones(len(start), bool)
@@ -288,7 +297,7 @@ def cut_repeats(docs: DataFrame, carried: list[str], kind: str, size: int, gram:
                     common = _among(runs.anchor, often)
                     if common.any():
                         text, start = plan.single(runs, common)
-                        parts.append(plan.counted(runs.windows()[start], text))
+                        parts.append(plan.counted(runs.windows(start), text))
             for row in plan.split(f, parts):
                 yield arrow_batch(SENDS, *([x] for x in row))
 
@@ -324,6 +333,7 @@ def cut_repeats(docs: DataFrame, carried: list[str], kind: str, size: int, gram:
                     first = earliest[content]
                     bits.append((first < (place + np.arange(len(first)) if within else place)).tobytes())
                 yield arrow_batch(ANSWERS, [f], [9], [packed((bucket, bits))])
+            del sent, distinct, ordered, earliest  # before the next bucket
 
     verdicts = stored(_by_block(tables, blocks, n, send, SENT).repartition(2 * plan.buckets, "bucket").mapInArrow(judge, ANSWER))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from .repeats import cut_repeats
 
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: A byte that no UTF-8 text holds.
 END = 255
 
