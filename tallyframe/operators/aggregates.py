@@ -49,7 +49,7 @@ def percentiles(events: DataFrame, *keys: str, splits: int = 64) -> DataFrame:
     whole = ranges.groupBy(*k).agg(F.sum("m").alias("count"), F.round(F.sum("t"), 2).alias("total"))
     wanted = whole.select(*k, "count", "total", F.explode(F.array(*map(F.lit, PER_MILLE))).alias("p")).withColumn("at", F.floor(F.col("p") * F.col("count") / 1000))
     hit = wanted.join(ranges, k).where("at >= start and at < start + m").select(*k, "b", "start", "count", "total", "p", "at")
-    running = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(*k, "b").orderBy("value")))
+    running = counts.join(hit.select(*k, "b").distinct(), [*k, "b"], "left_semi").withColumn("upto", F.sum("c").over(Window.partitionBy(*k, "b").orderBy("value")))
     found = hit.join(running, [*k, "b"]).where("at >= start + upto - c and at < start + upto")
     return found.groupBy(*k, "count", "total").agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"p{p}") for p in PER_MILLE])
 
@@ -83,3 +83,15 @@ def bottom_k(events: DataFrame, k: int, *keys: str) -> DataFrame:
     """A uniform sample of k values of each group: those of the lowest hash. A sampling operator; samples merge without loss."""
     order = Window.partitionBy(*keys).orderBy(F.md5(F.col("event_id").cast("string")), "event_id")
     return events.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select(*keys, "event_id", "value")
+
+
+def trailing_counts(events: DataFrame, span: int, *keys: str) -> DataFrame:
+    """event_id, trailing: how many events of the same keys lie within the last `span` microseconds up to each event.
+
+    Each event stands in its own stretch of time and, for the events after it, in the next one, so a window holds two
+    stretches of a key and not all its time.
+    """
+    own = F.floor(F.col("us") / span).cast("long")
+    x = events.select(*keys, "event_id", "us", own.alias("own")).withColumn("stretch", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    near = Window.partitionBy(*keys, "stretch").orderBy("us").rangeBetween(-(span - 1), 0)
+    return x.withColumn("trailing", F.count("*").over(near)).where("stretch = own").select("event_id", "trailing")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..engine import Engine, StateStore, admitted, text_lines, types_of
-from ..operators.states import Group, Registry, Totals
+from ..operators.states import Group, MovingPercentile, Pyramid, Registry, Totals
 from ..schema import BUFFER_ROWS, COARSE, GROUP_SAMPLES, INTERVALS, MOVING, MOVING_SAMPLES, PER_MILLE
 from ..sources.events import TYPED, latest, typed
+from ..streaming.buckets import new_folder
 from . import catalogue
 
 QUERIES, ORACLES = {}, {}
@@ -100,8 +99,6 @@ _CTES, _PARTS = _moving()
 
 @api(f", {_CTES}, g AS (SELECT DISTINCT name, tab_type FROM a WHERE tab_type = 'PercentileGroup') SELECT name, tab_type, '{{' || {_PARTS} || '}}' AS state FROM g")
 def api_percentile_group(y, spark, now):
-    from ..operators.states import MovingPercentile
-
     return Engine.over_events(y, now, Registry({"PercentileGroup": MovingPercentile(MOVING | COARSE)})).tabs(names=["purchase"])
 
 
@@ -146,10 +143,7 @@ def api_text(y, spark, now):
 
 
 def _store(spark, registry: Registry | None = None) -> StateStore:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    import uuid
-
-    return StateStore(spark, f"{base.rstrip('/')}/states-{uuid.uuid4().hex}", registry)
+    return StateStore(spark, new_folder(spark), registry)
 
 
 ALL = f"""SELECT name, tab_type, count(value) AS count, round(sum(value), 2) AS total FROM a WHERE name = 'click' GROUP BY name, tab_type"""
@@ -207,8 +201,6 @@ def state_self_check(y, spark, now):
 @api("SELECT name, client, count(value) AS count, count(DISTINCT us // 86400000000) AS days FROM a WHERE name = 'view' GROUP BY name, client")
 def api_registered_group(y, spark, now):
     """A user's aggregate composed of handlers: totals and buckets of a day, under a type that had another handler."""
-    from ..operators.states import Pyramid
-
     own = Group({"whole": Totals(), "daily": Pyramid({"d": (86400, 4000)})}, ("whole",))
     cells = Engine.over_events(y, now, Registry({"TotalsCounter": own})).projection(names=["view"], raw=True)
     count = F.sum(F.when(F.col("part") == "whole/all", F.col("count")))

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import sanitised, valid
 from ..operators import aggregates as A
 from ..schema import COARSE, INTERVALS, MOVING, PER_MILLE
 from ..sources.events import latest, load_events
-from ..streaming.buckets import bucket_counts
+from ..streaming.buckets import bucket_counts, new_folder, written
 
 QUERIES, ORACLES = {}, {}
 E = "e AS (SELECT event_id, 'user_' || user_id AS client, event_type AS name, epoch_us(ts) AS us, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events), t AS (SELECT max(us) AS now FROM e)"
@@ -157,7 +154,7 @@ def first_type_wins(e, spark, sf_dir):
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY name, client ORDER BY us RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS trailing FROM e")
 def trailing_range(e, spark, sf_dir):
-    return e.select("event_id", F.count("*").over(Window.partitionBy("name", "client").orderBy("us").rangeBetween(-(DAY - 1), 0)).alias("trailing"))
+    return A.trailing_counts(e, DAY, "name", "client")
 
 
 @query(", n AS (SELECT client, count(*) AS c FROM e GROUP BY client) SELECT client, c AS count, round(1000 * (c / (SELECT sum(c) FROM n)::BIGINT - 1.0 / (SELECT count(*) FROM n)), 6)::DOUBLE AS load FROM n")
@@ -172,9 +169,7 @@ def stream_buckets(e, spark, sf_dir):
     raw = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(raw).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*.parquet")
     out = bucket_counts(stream.select(F.col("event_type").alias("name"), F.col("ts").cast("timestamp").alias("ts")))
-    table = "stream_" + uuid.uuid4().hex
-    out.writeStream.format("memory").queryName(table).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(table)
+    return spark.read.parquet(written(out, "update", new_folder(spark))).groupBy("name", "bucket").agg(F.max_by("count", "batch").alias("count"))
 
 
 @query("SELECT name, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY md5(event_id::VARCHAR), event_id) AS r FROM e) WHERE r <= 200")

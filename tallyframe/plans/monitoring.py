@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import monitoring as M
 from ..sources.events import latest, typed
-from ..sources.wire import encode_clients, decode_bundles
+from ..sources.wire import decode_bundles, encode_clients
+from ..streaming.buckets import new_folder, written
 from ..streaming.states import keep_states, latest_values, sliding_counts
 from . import api, catalogue
 
@@ -145,25 +143,9 @@ def _stream(spark, sf_dir):
     return s.select("event_id", F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("client"), F.col("event_type").alias("name"), F.unix_micros(ts).alias("us"), ts.alias("ts"), "value", k.alias("k"))
 
 
-def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
-def _written(spark, df, mode: str) -> str:
-    """Runs a stream to its end into a Parquet table, each batch as a folder of its own; of updates the last of a key counts."""
-    folder = _folder(spark)
-
-    def write(batch, number):
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
-
-    df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return f"{folder}/out"
-
-
 @query(", w AS (SELECT name, unnest([us // 21600000000 * 21600, us // 21600000000 * 21600 - 21600, us // 21600000000 * 21600 - 43200, us // 21600000000 * 21600 - 64800]) AS start FROM e) SELECT name, start, count(*) AS count FROM w GROUP BY 1, 2")
 def stream_sliding(e, spark, sf_dir):
-    out = spark.read.parquet(_written(spark, sliding_counts(_stream(spark, sf_dir)), "update"))
+    out = spark.read.parquet(written(sliding_counts(_stream(spark, sf_dir)), "update", new_folder(spark)))
     return out.groupBy("name", "start").agg(F.max_by("count", "batch").alias("count"))
 
 
@@ -171,7 +153,7 @@ def stream_sliding(e, spark, sf_dir):
 def stream_gauge(e, spark, sf_dir):
     """The latest value's time of each (name, client), from a stream with state by key."""
     values = _stream(spark, sf_dir).withColumn("value", F.col("value").cast("string"))
-    out = spark.read.parquet(_written(spark, latest_values(values), "append"))
+    out = spark.read.parquet(written(latest_values(values), "append", new_folder(spark)))
     return out.groupBy("name", "client").agg(F.max("us").alias("us"))
 
 

@@ -1,13 +1,17 @@
 import glob
 import os
+import zlib
 
 import duckdb
 import pytest
 
-from tallyframe.functions.windows import bounds
+from tallyframe.engine import Engine, StateStore
+from tallyframe.functions import scalars
+from tallyframe.functions.windows import bounds, sanitised, valid
+from tallyframe.operators.states import Buffer, Registry, Totals
 from tallyframe.operators import aggregates as A
 from tallyframe.plans import api, catalogue, monitoring
-from tallyframe.sources.wire import decode_body, encode_body, encode_clients, read_bodies
+from tallyframe.sources.wire import checked_bodies, decode_body, decode_bundles, encode_body, encode_clients, inflated, read_bodies
 
 QUERIES, ORACLES = catalogue.QUERIES | api.QUERIES | monitoring.QUERIES, catalogue.ORACLES | api.ORACLES | monitoring.ORACLES
 DIR = "/root/testdata/sf0.001"
@@ -60,3 +64,95 @@ def test_wire_round_trip(spark, tmp_path):
     df = read_bodies(spark, f"file://{tmp_path}")
     got = [x for r in encode_clients(df).collect() for x in decode_body(r.body)]
     assert sorted(got) == sorted(events)
+
+
+def test_wire_size_limits_and_pieces():
+    body = encode_body([("client1", "name1", "typeA", 1234567890, "321")] * 75_000 + [("client1", "name2", "typeB", 1234567890, '"str1"')])
+    got = [(c, n, k, len(v)) for c, n, k, v in decode_bundles(body)]
+    assert got == [("client1", "name1", "typeA", 50_000), ("client1", "name1", "typeA", 25_000), ("client1", "name2", "typeB", 1)]
+    packed = zlib.compress(body.encode())
+    pieces = [packed[i : i + 1024] for i in range(0, len(packed), 1024)]
+    assert list(decode_body(inflated(pieces))) == list(decode_body(body))
+    with pytest.raises(ValueError, match="ends early"):
+        list(inflated(pieces[:-1]))
+
+
+@pytest.mark.parametrize("body", ["2\n\n", "1\nclient1\n", "1\n\nclient1\nname1\n"])
+def test_wire_separators_must_stand(body):
+    with pytest.raises(ValueError):
+        list(decode_body(body))
+
+
+def test_wire_files_plain_and_compressed(spark, tmp_path):
+    events = [("c1", "n1", "A", 5.25, "321"), ("c2", "n2", "B", 6.0, '"\u2248"')]
+    (tmp_path / "z").mkdir()
+    (tmp_path / "z" / "good").write_bytes(zlib.compress(encode_body(events).encode()))
+    (tmp_path / "z" / "bad").write_bytes(b"nothing")
+    got = read_bodies(spark, f"file://{tmp_path}/z", compressed=True, bad="drop").selectExpr("client", "name", "tab_type", "unix_micros(ts) / 1000000", "payload")
+    assert sorted(map(tuple, got.collect())) == events
+    with pytest.raises(Exception):
+        read_bodies(spark, f"file://{tmp_path}/z", compressed=True).count()
+    bodies = spark.createDataFrame([(encode_body(events),), ("",), ("7\n\n",)], "body string")
+    assert [r.problem for r in checked_bodies(bodies).collect()] == [None, "no events", "unknown protocol version '7'"]
+
+
+def test_names(spark):
+    cases = {"aValidValue01_./-": "aValidValue01_./-", "a value with spaces": "a_value_with_spaces", "invalid&char1": "invalid_char1", "invalid|char2": "invalid_char2", "invalid'char3": "invalid_char3", "aUnicodeStr\u2248\u2248\u2248\u2248\u2606": "aUnicodeStr_____", "abc\n": "abc_", "": ""}
+    got = spark.createDataFrame([(x,) for x in cases], "n string").select("n", valid("n").alias("v"), sanitised("n").alias("s")).collect()
+    assert {r.n: r.s for r in got} == cases and {r.n for r in got if r.v} == {"aValidValue01_./-", ""}
+
+
+def test_scalars(spark):
+    rows = [("321",), ("[5, 9]",), ('"x"',), ("{}",), ("not json",), (None,)]
+    x = spark.createDataFrame(rows, "p string").select(scalars.payload_value("p").alias("v"), scalars.payload_text("p").alias("t"), scalars.adler32("p").alias("a")).collect()
+    assert [r.v for r in x] == [321.0, 5.0, None, None, None, None] and [r.t for r in x[:3]] == ["321", "5", "x"]
+    assert [r.a for r in x[:-1]] == [zlib.adler32(p.encode()) for p, in rows[:-1]]
+    import hashlib
+
+    y = spark.createDataFrame([("c1", "n1"), ("c2", "name2")], "c string, n string").select("c", "n", scalars.agent_shard("c", "n").alias("s")).collect()
+    assert all(r.s == int(hashlib.md5((r.c + r.n).encode()).hexdigest(), 16) % 750 for r in y)
+    assert scalars.roles("frontend, BACKEND") == ["FRONTEND", "BACKEND"]
+    with pytest.raises(ValueError):
+        scalars.roles("cook")
+    assert scalars.counter("c", "n", 1)[0][:3] == ("c", "n", "CounterGroup") and scalars.gauge("c", "bad name", 1, 2) == []
+
+
+EVENTS = "name string, client string, tab_type string, event_id long, us long, value double, text string, expiry long"
+
+
+def test_documented_counter_group(spark):
+    """A counter of 100 and 1000 within the last minute, and a gauge."""
+    rows = [("c", "x", "CounterGroup", i, 10**12 + i, v, None, None) for i, v in enumerate((100.0, 1000.0))] + [("g", "x", "Gauge", 5, 10**12, None, "value", None)]
+    e = Engine.over_events(spark.createDataFrame(rows, EVENTS), 10**12 + 5)
+    inner = '{"count": 2, "total": 1100.00, "average": 550.00}'
+    want = "{" + ", ".join(f'"{x}": {inner}' for x in ("1m", "10m", "1h", "1d")) + ', "pct": {"count": 2, "total": 1100.000000, "pct": [100.00, 1000.00, 1000.00, 1000.00, 1000.00, 1000.00, 1000.00]}}'
+    assert e.tabs(names="c").first().state == want and e.tabs(names="g").first().state == '{"value": 1}'
+    assert e.supertabs(names="nothing").count() == 0 and len(e.tabs(raw=True).columns) == 15
+    with pytest.raises(ValueError, match="different types"):
+        e.supertabs()
+    with pytest.raises(TypeError):
+        e.tabs(colour="red")
+
+
+def test_registry_and_upgrade(spark, tmp_path):
+    class Newer(Totals):
+        version = 1
+
+    with pytest.raises(TypeError):
+        Registry({"X": 5})
+    with pytest.raises(KeyError):
+        Registry()["unknown"]
+    rows = [("n", "c", "TotalsCounter", 1, 1, 2.9, None, None), ("b", "c", "Buffer", 2, 1, 2.0, "2", 10**15)]
+    df = spark.createDataFrame(rows, EVENTS)
+    StateStore(spark, f"file://{tmp_path}/s").upsert(df)
+    newer = StateStore(spark, f"file://{tmp_path}/s", Registry({"TotalsCounter": Newer()}))
+    newer.upgrade()
+    assert {(r.name, r.version, r.total) for r in newer.table("states").collect()} == {("n", 1, 2.0), ("b", 0, None)}
+
+    class NewBuffer(Buffer):
+        version = 3
+
+    with pytest.raises(Exception, match="no upgrade"):
+        StateStore(spark, f"file://{tmp_path}/s", Registry({"Buffer": NewBuffer()})).upgrade()
+    newer.flush()
+    assert newer.table("states").count() == 0
