@@ -58,8 +58,8 @@ def base_quality_counts(spark, sf_dir):
 
 
 def base_license_places(spark, sf_dir):
-    """The exact phrases under op4, which SQL can express."""
-    return license_scan.scan(documents(spark, sf_dir)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    """The exact phrases under op4, which SQL can express; -1 for no place."""
+    return license_scan.scan(documents(spark, sf_dir)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").na.fill(-1)
 
 
 QUERIES = {f.__name__: f for f in (op1_token_output, op2_mix_sources, op3_quality_rules, op4_license_scan, op5_substring_dedup, op6_suffix_dedup, op7_exact_top_k, op8_near_dedup, op9_language_id, op10_byte_bpe, base_quality_counts, base_license_places)}
@@ -117,5 +117,5 @@ b AS (SELECT * FROM (VALUES (['under', 'the', 'mit', 'license'], 'mit'), (['apac
 p AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
 h AS (SELECT doc_id, i - 1 AS place, label FROM p JOIN b ON ws[i] = phrase[1] AND ws[i:i + len(phrase) - 1] = phrase),
 x AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM h GROUP BY doc_id)
-SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word, coalesce(labels, '') AS base_labels FROM w LEFT JOIN x ON w.doc_id = x.doc_id""",
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, coalesce(lo, -1)::BIGINT AS first_word, coalesce(hi, -1)::BIGINT AS last_word, coalesce(labels, '') AS base_labels FROM w LEFT JOIN x ON w.doc_id = x.doc_id""",
 }
