@@ -24,9 +24,18 @@ def _smaller_than_next(t: np.ndarray) -> np.ndarray:
 
 
 def _direct(t: np.ndarray, which: np.ndarray, depth: int) -> np.ndarray:
-    """Some suffixes in order of their first `depth` bytes."""
+    """Some suffixes in order of their first `depth` bytes: by the first two, then those that share them, a group at a time."""
     padded = np.concatenate([t, np.zeros(depth, np.uint8)])
-    return which[np.argsort(np.ndarray((len(t),), f"S{depth}", padded.data, strides=(1,))[which], kind="stable")]
+    strings = np.ndarray((len(t),), f"S{depth}", padded.data, strides=(1,))
+    two = padded[which].astype(np.uint16) << 8 | padded[which + 1]
+    order = np.argsort(two, kind="stable")
+    which, two = which[order], two[order]
+    cuts = np.flatnonzero(np.diff(two.astype(np.int32), prepend=-1))
+    for a, b in zip(cuts, np.append(cuts[1:], len(which))):
+        if b - a > 1:
+            part = which[a:b]
+            which[a:b] = part[np.argsort(strings[part], kind="stable")]
+    return which
 
 
 def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
