@@ -82,22 +82,24 @@ def api_counter_group(y, spark, now):
     return Engine.over_events(y, now).tabs(names=["click"])
 
 
-def _moving() -> str:
-    parts, ctes = [], []
+def _moving() -> tuple[str, str, str]:
+    """CTEs of the intervals' samples (each bucket keeps its own, the interval one of what its buckets kept), the JSON, the joins."""
+    ctes, parts, joins = [], [], []
     for x, (w, n) in (MOVING | COARSE).items():
         k = MOVING_SAMPLES.get(x, 128)
-        # each bucket keeps its own sample, the interval one of what its buckets kept
-        ctes.append(f"b_{x} AS (SELECT *, row_number() OVER (PARTITION BY name, us // {w * 1_000_000} ORDER BY md5(event_id::VARCHAR)) AS i FROM a, t WHERE tab_type = 'PercentileGroup' AND {catalogue._hit(w, n)}), m_{x} AS (SELECT *, row_number() OVER (PARTITION BY name, i <= {k} ORDER BY md5(event_id::VARCHAR)) AS j FROM b_{x})")
-        values = f"coalesce((SELECT list(value) FROM m_{x} WHERE m_{x}.name = g.name AND i <= {k} AND j <= {k}), [])"
-        count, total = (f"(SELECT {f} FROM m_{x} WHERE m_{x}.name = g.name)" for f in ("count(*)", "coalesce(sum(value), 0)"))
-        parts.append(f"'\"{x}\": ' || {_pct(values, count, total)}")
-    return ", ".join(ctes), " || ', ' || ".join(parts)
+        ctes.append(f"""b_{x} AS (SELECT *, row_number() OVER (PARTITION BY name, us // {w * 1_000_000} ORDER BY md5(event_id::VARCHAR)) AS i FROM a, t WHERE tab_type = 'PercentileGroup' AND {catalogue._hit(w, n)}),
+m_{x} AS (SELECT *, row_number() OVER (PARTITION BY name, i <= {k} ORDER BY md5(event_id::VARCHAR)) AS j FROM b_{x}),
+v_{x} AS (SELECT name, count(*) AS n, sum(value) AS s, list_sort(list(value) FILTER (WHERE i <= {k} AND j <= {k})) AS v FROM m_{x} GROUP BY name)""")
+        each = " || ', ' || ".join(f"printf('%.2f', coalesce(v_{x}.v[({p} * len(v_{x}.v)) // 1000 + 1], 0))" for p in PER_MILLE)
+        parts.append(f"printf('\"{x}\": {{\"count\": %d, \"total\": %f, \"pct\": [', coalesce(v_{x}.n, 0), coalesce(v_{x}.s, 0)) || {each} || ']}}'")
+        joins.append(f"LEFT JOIN v_{x} ON v_{x}.name = g.name")
+    return ", ".join(ctes), " || ', ' || ".join(parts), " ".join(joins)
 
 
-_CTES, _PARTS = _moving()
+_CTES, _PARTS, _JOINS = _moving()
 
 
-@api(f", {_CTES}, g AS (SELECT DISTINCT name, tab_type FROM a WHERE tab_type = 'PercentileGroup') SELECT name, tab_type, '{{' || {_PARTS} || '}}' AS state FROM g")
+@api(f", {_CTES}, g AS (SELECT DISTINCT name, tab_type FROM a WHERE tab_type = 'PercentileGroup') SELECT g.name, tab_type, '{{' || {_PARTS} || '}}' AS state FROM g {_JOINS}")
 def api_percentile_group(y, spark, now):
     return Engine.over_events(y, now, Registry({"PercentileGroup": MovingPercentile(MOVING | COARSE)})).tabs(names=["purchase"])
 
