@@ -135,16 +135,3 @@ def ids_texts(frames, limit: int = 1 << 19, id_column: str = "doc_id"):
 
 def arrow_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-
-
-def batches(frames, column: str = "text", limit: int = 4 << 20):
-    """Cuts pandas batches so that each piece holds few texts or few bytes: bounds a worker's memory."""
-    for pdf in frames:
-        at, held = 0, 0
-        for i, t in enumerate(pdf[column]):
-            held += len(t) if t is not None else 0
-            if held > limit:
-                yield pdf.iloc[at : i + 1]
-                at, held = i + 1, 0
-        if at < len(pdf):
-            yield pdf.iloc[at:]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import U64, batches, combine, gram_hash, joined, mix, BYTE_VALUE
+from .common import BYTE_VALUE, U64, gram_hash, joined
 
 LETTER = regex.compile(r"\p{L}")
 BUCKETS = 4096
