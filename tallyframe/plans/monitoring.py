@@ -131,7 +131,7 @@ def wire_round_trip(e, spark, sf_dir):
             rows = [(c, n, len(v)) for body in pdf["body"] for c, n, _, v in decode_bundles(body)]
             yield pd.DataFrame(rows, columns=["client", "name", "events"])
 
-    read_again = encode_clients(x, 7).mapInPandas(read, "client string, name string, events long")
+    read_again = encode_clients(x, 5000).mapInPandas(read, "client string, name string, events long")
     return read_again.groupBy("client", "name").agg(F.sum("events").alias("events"))
 
 
