@@ -94,35 +94,53 @@ def common_prefixes(t: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     return np.minimum(length, most)
 
 
+def _may_repeat(content: bytes, size: int) -> bool:
+    """Whether a window may stand twice in a content: then what all its n <= size windows share would stand again, after the first n bytes."""
+    n = len(content) - size + 1
+    return n > size or n > 1 and content.find(content[n - 1 : size], n) >= 0
+
+
 def earliest_places(contents: list, size: int):
     """Kernel of repeats: sorts the suffixes of shards of some SHARD_BYTES bytes (an anchor is never divided); windows with the same first
-    `size` bytes stand together, and the smallest place among them is the earliest."""
+    `size` bytes stand together, and the smallest place among them is the earliest.
+
+    A content that is the only one of its anchor and repeats no window has nothing to be sorted with: its windows' places are its own.
+    """
     shard, held = [], 0
     for i, x in enumerate(contents):
-        if held > SHARD_BYTES and shard and x[0] != contents[i - 1][0]:
+        starts = not i or x[0] != contents[i - 1][0]
+        if held > SHARD_BYTES and starts:
             yield from _of_shard(shard, size)
             shard, held = [], 0
-        shard.append(x)
-        held += len(x[1])
+        alone = starts and (i + 1 == len(contents) or contents[i + 1][0] != x[0]) and not _may_repeat(x[1], size)
+        shard.append((x[1], x[2], alone))
+        held += 0 if alone else len(x[1])
     if shard:
         yield from _of_shard(shard, size)
 
 
 def _of_shard(shard: list, size: int):
+    met = [x for x in shard if not x[2]]
     end = bytes([END])
-    data = np.frombuffer(end.join(x[1] for x in shard) + end, np.uint8)
-    ends = np.cumsum([len(x[1]) + 1 for x in shard]) - 1
-    starts = np.append(0, ends[:-1] + 1)
-    order = suffix_array(data, size)
-    owner = np.repeat(np.arange(len(shard)), ends - starts + 1)
-    order = order[order + size <= ends[owner[order]]]  # windows; what crosses an end holds its byte and equals no window
-    group = np.cumsum(common_prefixes(data, order, size) < size) - 1
-    place = np.array([x[2] for x in shard])[owner[order]] + order - starts[owner[order]]
+    data = np.frombuffer(end.join([x[0] for x in met] + [b""]), np.uint8)
+    ends = np.cumsum([len(x[0]) + 1 for x in met], dtype=np.int64) - 1
+    starts = np.append(0, ends + 1)[: len(met)]
     of_window = np.zeros(len(data), np.int64)
-    if len(order):
-        of_window[order] = np.minimum.reduceat(place, np.flatnonzero(np.diff(group, prepend=-1)))[group]
-    for a, b in zip(starts, ends):
-        yield of_window[a : b - size + 1]
+    if len(met):
+        order = suffix_array(data, size)
+        owner = np.repeat(np.arange(len(met)), ends - starts + 1)
+        order = order[order + size <= ends[owner[order]]]  # windows; what crosses an end holds its byte and equals no window
+        group = np.cumsum(common_prefixes(data, order, size) < size) - 1
+        place = np.array([x[1] for x in met])[owner[order]] + order - starts[owner[order]]
+        if len(order):
+            of_window[order] = np.minimum.reduceat(place, np.flatnonzero(np.diff(group, prepend=-1)))[group]
+    spans = zip(starts.tolist(), ends.tolist())
+    for content, first, alone in shard:
+        if alone:
+            yield first + np.arange(len(content) - size + 1)
+        else:
+            a, b = next(spans)
+            yield of_window[a : b - size + 1]
 
 
 def dedup_bytes(docs: DataFrame, size: int = 100) -> DataFrame:

@@ -241,6 +241,36 @@ def test_suffix_dedup(unique):
         assert x.n_spans == sum(j - 1 not in gone for j in gone)
 
 
+@pytest.mark.parametrize("kind,size,gram", [("bytes", 100, 16), ("words", 13, 5)])
+def test_anchors_spread_over_buckets(kind, size, gram):
+    """Anchors are the lowest of many hashes; each bucket gets its share of them all the same."""
+    from tallyframe.llm import repeats
+
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 9999, 400)).encode() for _ in range(200)]
+    runs, plan = repeats.Runs(texts, kind, size, gram), repeats.Plan(kind, size, gram, True, 16)
+    distinct = np.unique(runs.anchor)
+    each = np.bincount(plan.bucket(distinct), minlength=16)
+    assert each.max() < 1.5 * len(distinct) / 16 and each.min() > len(distinct) / 16 / 1.5
+    sent = [(k, repeats._unpack_hashes(payload)[0]) for k, _, payload in plan.split(0, [plan.anchors(runs)])]
+    assert [k for k, _ in sent] == list(range(16)) and all((plan.bucket(h) == k).all() and (np.diff(h) > 0).all() for k, h in sent)
+    assert np.array_equal(np.sort(np.concatenate([h for _, h in sent])), distinct)
+
+
+def test_earliest_places_of_lone_and_met_contents():
+    rng = np.random.default_rng(12)
+    size, base = 10, bytes(rng.integers(97, 99, 60, dtype=np.uint8))
+    made = [b"ABCDEFGHIJKL", b"c" * 13, b"de" * 9, b"xyzfghfghfghfgh", b"qrstuvwxyz", base, base[5:40], base[9:50], b"0123456789ABC0123456789A"]
+    contents = [[h, c, 100 * i + 7] for i, (h, c) in enumerate(zip([1, 2, 3, 4, 5, 6, 6, 6, 7], made))]
+    for some in (contents, contents[:1], contents[:5], contents[5:8], []):
+        first: dict = {}
+        for _, c, at in some:
+            for j in range(len(c) - size + 1):
+                first.setdefault(c[j : j + size], at + j)
+        want = [[first[c[j : j + size]] for j in range(len(c) - size + 1)] for _, c, _ in some]
+        assert [x.tolist() for x in suffix_dedup.earliest_places(some, size)] == want
+
+
 def test_suffix_array_and_common_prefixes():
     rng = np.random.default_rng(6)
     for data in (b"", b"a", b"banana", b"zzzzzzzzz", b"mississippi" * 9, bytes(rng.integers(0, 3, 700, dtype=np.uint8)), bytes(rng.integers(250, 256, 300, dtype=np.uint8))):
