@@ -76,7 +76,8 @@ class Runs:
             padded[: len(self.data)] = self.data
             self.block = np.ndarray((len(self.data) + 1,), "<u8", padded.data, strides=(1,))  # the 8 bytes from each place on
             n = max(0, len(self.data) - 15)
-            grams = combine(self.block[:n], self.block[8 : 8 + n]) if gram == 16 else gram_hash(self.data.astype(U64), gram)
+            grams = combine(self.block[:n], self.block[8 : 8 + n])
+            grams = combine(grams[:-16], grams[16:]) if gram == 32 else grams if gram == 16 else gram_hash(self.data.astype(U64), gram)
             self.at, self.symbols = self.offset, None
             ends = self.at[1:] - 1
         else:
@@ -85,7 +86,7 @@ class Runs:
             grams = gram_hash(self.symbols, gram)
             self.at = np.searchsorted(self.starts, self.offset)
             ends = self.at[1:]
-        span = 1
+        single, span = grams, 1
         while span < size - gram + 1 and len(grams):
             step = min(span, size - gram + 1 - span)
             grams = np.minimum(grams[:-step], grams[step:])
@@ -103,6 +104,11 @@ class Runs:
         first = np.flatnonzero(new)
         lo, hi = whole[first], whole[np.append(first[1:], len(whole)) - 1] if len(whole) else whole
         self.anchor = low[first]
+        # Where a window's anchor is its first run of symbols and the next window has it too, it stands there twice; equal windows
+        # of one run have such a place between their starts, however short the run is.
+        again = np.flatnonzero((single[whole[:-1]] == low[:-1]) & ~new[1:])
+        self.twice = np.zeros(len(first), bool)
+        self.twice[np.searchsorted(first, again, side="right") - 1] = True
         self.text = np.searchsorted(self.at, lo, side="right") - 1
         self.lo, self.hi = lo - self.at[self.text], hi - self.at[self.text]
 
@@ -149,9 +155,8 @@ class Plan:
         return np.unique(h, return_counts=True)
 
     def anchors(self, runs: Runs) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct anchors and their counts; a run of more windows than one place of its anchor can serve has that anchor twice."""
-        twice = runs.hi - runs.lo > self.size - self.gram
-        return self.counted(np.append(runs.anchor, runs.anchor[twice]), np.append(runs.text, runs.text[twice]))
+        """Distinct anchors and their counts; a run in which its anchor stands twice may repeat a window by itself."""
+        return self.counted(np.append(runs.anchor, runs.anchor[runs.twice]), np.append(runs.text, runs.text[runs.twice]))
 
     def split(self, f: int, parts: list[tuple[np.ndarray, np.ndarray]]):
         """Rows that send hashes to their buckets."""

@@ -163,4 +163,4 @@ def dedup_bytes(docs: DataFrame, size: int = 100) -> DataFrame:
         return values[0], len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept
 
     source = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    return cut_repeats(source, ["doc_id"], "bytes", size, 16, True, earliest_places, row, out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return cut_repeats(source, ["doc_id"], "bytes", size, 32, True, earliest_places, row, out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -271,6 +271,19 @@ def test_earliest_places_of_lone_and_met_contents():
         assert [x.tolist() for x in suffix_dedup.earliest_places(some, size)] == want
 
 
+def test_short_texts_that_repeat_themselves(spark):
+    """Overlapping repeats within one run of windows, from the shortest on."""
+    texts = ["a" * 100, "b" * 101, "c" * 150, "de" * 51, "fgh" * 60, "ijklmnopqrstuvwxyz0123456789" * 6, "".join(chr(0x100 + i) for i in range(40)) + "A" * 120]
+    got = by_id(suffix_dedup.dedup_bytes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i, t in enumerate(texts):
+        data, seen, gone = t.encode(), set(), set()
+        for j in range(len(data) - 99):
+            if data[j : j + 100] in seen:
+                gone.update(range(j, j + 100))
+            seen.add(data[j : j + 100])
+        assert bytes(got[i].kept) == bytes(c for j, c in enumerate(data) if j not in gone), t
+
+
 def test_suffix_array_and_common_prefixes():
     rng = np.random.default_rng(6)
     for data in (b"", b"a", b"banana", b"zzzzzzzzz", b"mississippi" * 9, bytes(rng.integers(0, 3, 700, dtype=np.uint8)), bytes(rng.integers(250, 256, 300, dtype=np.uint8))):
