@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -49,7 +50,9 @@ class WordEncoder:
     The tokenizer must treat the parts between ASCII white space apart, as its file does when its normaliser and its pattern
     only join or match what no white space divides and drop white space itself; _drops_white_space checks that on the file,
     and other files get whole texts. ASCII words are lower-cased and split further, into the pattern's matches, as the
-    library would. The library encodes each such part not met lately; words of over 64 bytes aren't kept.
+    library would. If the file has nothing after its model (_ends_in_model), other words are normalised and split by the
+    library's own steps, many at a time, and each part not met lately goes to the model alone. Else, and for words with control
+    characters, Unicode spaces or the start of an added token, the library encodes it. Words of over 64 bytes aren't kept.
     """
 
     def __init__(self, path: str, cache_size: int = 1 << 18):
@@ -58,21 +61,36 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         with open(path) as f:
-            self.by_word = _drops_white_space(json.load(f))
+            config = json.load(f)
+        self.by_word = _drops_white_space(config)
+        self.model = self.tokenizer.model if self.by_word and _ends_in_model(config) else None
         self.words, self.parts = Recent(cache_size), Recent(cache_size)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if not self.by_word:
             return self._encoded(texts)
+        collects = gc.isenabled()
+        gc.disable()  # it makes many small lists and no cycles
+        try:
+            return self._by_word(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _by_word(self, texts: list[str]) -> list[bytes]:
         found = [t.encode().split() for t in texts]  # bytes: ASCII white space only
         new = self.words.missing(set().union(*found))
-        split = [ASCII_PARTS.findall(w.lower()) if w.isascii() and b"<|" not in w else [w] for w in new]
+        split = self._split(new)
         fresh = self.parts.missing(set().union(*split))
         known = self.parts.kept
-        for at in range(0, len(fresh), 8192):
-            part = fresh[at : at + 8192]
+        whole = [x for x in fresh if type(x) is bytes]
+        for at in range(0, len(whole), 8192):
+            part = whole[at : at + 8192]
             known.update(zip(part, self._encoded([w.decode() for w in part])))
+        for x in fresh:
+            if type(x) is str:
+                known[x] = struct.pack(f"<{len(ids := [t.id for t in self.model.tokenize(x)])}I", *ids)
         kept = self.words.kept
         for word, parts in zip(new, split):
             kept[word] = known[parts[0]] if len(parts) == 1 else b"".join([known[x] for x in parts])
@@ -83,6 +101,35 @@ class WordEncoder:
                     del store[word]
         return out
 
+    def _split(self, words: list[bytes]) -> list[list]:
+        """The parts of each word: text for the model, as its byte level writes it, or bytes for the whole library."""
+        if self.model is None:
+            return [ASCII_PARTS.findall(w.lower()) if w.isascii() and b"<|" not in w else [w] for w in words]
+        out: list[list] = [[w] for w in words]
+        others = []
+        for i, w in enumerate(words):
+            if b"<|" not in w:
+                t = w.decode()
+                if not w.isascii():
+                    if t.split() == [t]:
+                        others.append((i, t))
+                elif t.isprintable():  # these the byte level leaves as they are
+                    out[i] = ASCII_TEXT_PARTS.findall(t.lower())
+        for at in range(0, len(others), 256):
+            some = others[at : at + 256]
+            text = self.tokenizer.normalizer.normalize_str(" ".join([t for _, t in some]))
+            normal = text.split(" ")
+            if len(normal) == len(some):
+                parts, k, end = [[] for _ in some], 0, len(normal[0])
+                for x, (a, _) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text):
+                    while a >= end:
+                        k += 1
+                        end += 1 + len(normal[k])
+                    parts[k].append(x)
+                for (i, _), x in zip(some, parts):
+                    out[i] = x
+        return out
+
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return list(map(self._raw, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)))
 
@@ -104,8 +151,16 @@ def _drops_white_space(config: dict) -> bool:
     return normal and plain and known and first.get("type") == "Split" and first.get("invert") is True and first.get("behavior") == "Removed"
 
 
-#: The pattern below on lower-case ASCII without white space.
+def _ends_in_model(config: dict) -> bool:
+    """Whether a part, once split and written by its byte level, goes to a plain model and its ids come out as they are."""
+    steps = (config["pre_tokenizer"] or {}).get("pretokenizers", [])
+    level = steps[1] if len(steps) == 2 else {}
+    return level.get("type") == "ByteLevel" and not level["add_prefix_space"] and not level["use_regex"] and config["post_processor"] is None and config["model"]["type"] == "BPE" and not config["model"]["dropout"]
+
+
+#: The pattern above on lower-case ASCII without white space.
 ASCII_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+ASCII_TEXT_PARTS = re.compile(ASCII_PARTS.pattern.decode())
 
 
 @lru_cache(4)

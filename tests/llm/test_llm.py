@@ -100,6 +100,20 @@ def test_words_one_by_one_equal_whole_texts():
     assert w.by_word and [np.frombuffer(x, "<u4").tolist() for x in w.encode(texts)] == whole
 
 
+def test_parts_by_the_model_equal_the_library(monkeypatch):
+    """Words of all kinds come out as by the whole library, which only sees the odd ones."""
+    rng = np.random.default_rng(13)
+    letters = [*"aZé'sIİßΣςñ0½٣#%_中한ﬁ", "e\u0301", "\u0301", "\u200d", "\ufeff", "😀", "'LL", "'re"]
+    words = ["".join(rng.choice(letters, int(n))) for n in rng.integers(1, 9, 4000)]
+    odd = ["a\x01b", "\u00a0x", "x\u3000y", "a\u2003", "\u180ez", "<|endoftext|>", "é<|", "\x7f", "\x1cq", "\x85", "é\x00"]
+    encoder = token_output.WordEncoder(P.path("word_bpe_49k.json"))
+    want, seen, library = encoder._encoded([*words, *odd]), [], encoder._encoded
+    monkeypatch.setattr(encoder, "_encoded", lambda texts: seen.extend(texts) or library(texts))
+    assert encoder.encode([*words, *odd]) == want
+    assert encoder.encode([" ".join(words), "\n".join(odd)]) == library([" ".join(words), "\n".join(odd)])
+    assert len(seen) <= len(odd)
+
+
 def test_frames():
     out = io.BytesIO()
     w = token_output.FrameWriter(out, 64)
