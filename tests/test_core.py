@@ -5,10 +5,10 @@ import zlib
 import duckdb
 import pytest
 
-from tallyframe.engine import Engine, StateStore
+from tallyframe.engine import Engine, StateStore, admitted, types_of
 from tallyframe.functions import scalars
 from tallyframe.functions.windows import bounds, sanitised, valid
-from tallyframe.operators.states import Buffer, Registry, Totals
+from tallyframe.operators.states import Buffer, Registry, Totals, merged
 from tallyframe.operators import aggregates as A
 from tallyframe.plans import api, catalogue, monitoring
 from tallyframe.sources.wire import checked_bodies, decode_body, decode_bundles, encode_body, encode_clients, inflated, read_bodies
@@ -156,3 +156,28 @@ def test_registry_and_upgrade(spark, tmp_path):
         StateStore(spark, f"file://{tmp_path}/s", Registry({"Buffer": NewBuffer()})).upgrade()
     newer.flush()
     assert newer.table("states").count() == 0
+
+
+def nodes(df, name):
+    return df._jdf.queryExecution().executedPlan().toString().count(name)
+
+
+def test_samples_and_tops_are_cut_before_the_shuffle(spark):
+    """Else all cells of a name meet in one task."""
+    rows = [("n", f"c{i % 7}", t, i, i, float(i), str(i), 10**15 + i) for i in range(3000) for t in ["Buffer"]]
+    e = spark.createDataFrame(rows, EVENTS)
+    registry = Registry({"Wide": Buffer(2500)})
+    cells = Registry().fold(e, ("name",))
+    assert nodes(cells, "WindowGroupLimit") == 2 and cells.count() == 1000  # on each partition and on all
+    wide = registry.fold(e.replace("Buffer", "Wide", subset=["tab_type"]), ("name",))
+    assert sorted(int(r.value) for r in wide.collect()) == list(range(500, 3000))
+    stored = merged(registry.fold(e.unionByName(e.replace("Buffer", "Wide", subset=["tab_type"]))), "name")
+    assert {(r.tab_type, r["count"]) for r in stored.groupBy("tab_type").count().collect()} == {("Buffer", 1000), ("Wide", 2500)}
+
+
+def test_types_of_first_events_without_a_sort_or_a_join_by_name(spark):
+    rows = [("n", "c", t, i, us, 1.0, None, None) for t, i, us in (("Gauge", 9, -5), ("Buffer", 2, -5), ("TotalsCounter", 1, 7))]
+    e = spark.createDataFrame([*rows, ("m", "c", "Gauge", 2**62, 2**52, 1.0, None, None), ("m", "c", "Buffer", 2**62 + 1, 2**52, 1.0, None, None)], EVENTS)
+    assert {tuple(r) for r in types_of(e).collect()} == {("n", "Buffer"), ("m", "Gauge")}
+    x = admitted(e, Registry())
+    assert nodes(x, "SortMergeJoin") == 0 and {(r.name, r.event_id) for r in x.collect()} == {("n", 2), ("m", 2**62)}
