@@ -168,7 +168,7 @@ def test_samples_and_tops_are_cut_before_the_shuffle(spark):
     e = spark.createDataFrame(rows, EVENTS)
     registry = Registry({"Wide": Buffer(2500)})
     cells = Registry().fold(e, ("name",))
-    assert nodes(cells, "WindowGroupLimit") == 2 and cells.count() == 1000  # on each partition and on all
+    assert nodes(cells, "WindowGroupLimit") == 4 and cells.count() == 1000  # of samples and of tops, on each partition and on all
     wide = registry.fold(e.replace("Buffer", "Wide", subset=["tab_type"]), ("name",))
     assert sorted(int(r.value) for r in wide.collect()) == list(range(500, 3000))
     stored = merged(registry.fold(e.unionByName(e.replace("Buffer", "Wide", subset=["tab_type"]))), "name")
@@ -181,3 +181,12 @@ def test_types_of_first_events_without_a_sort_or_a_join_by_name(spark):
     assert {tuple(r) for r in types_of(e).collect()} == {("n", "Buffer"), ("m", "Gauge")}
     x = admitted(e, Registry())
     assert nodes(x, "SortMergeJoin") == 0 and {(r.name, r.event_id) for r in x.collect()} == {("n", 2), ("m", 2**62)}
+
+
+def test_latest_of_a_group_without_a_sort():
+    import pandas as pd
+
+    from tallyframe.streaming.states import _latest
+
+    for us, ids, want in (([1, 3, 3, 2], [4, 9, 7, 1], 2), ([5], [0], 0), ([1.0, None, 1.0], [6, 2, 5], 2)):
+        assert _latest(pd.DataFrame({"us": us, "event_id": ids})) == want
